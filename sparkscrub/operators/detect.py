@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkscrub.functions.spans import SPANS_TYPE, spans_sql
-from sparkscrub.operators.scopes import analysed_sql
+from sparkscrub.functions.sqltext import let
+from sparkscrub.plans.handlers import analysed_sql
 
 
 def detect(
@@ -20,7 +21,7 @@ def detect(
     output: str = "spans",
 ) -> DataFrame:
     """Add ``output``: all spans of the chosen types (start, end, entity_type, value)."""
-    return df.withColumn(output, F.expr(spans_sql(analysed_sql(text, kind), entities, terms)))
+    return df.withColumn(output, F.expr(spans_sql(let(text, lambda t: analysed_sql(t, kind), "t"), entities, terms)))
 
 
 def explode_spans(df: DataFrame, spans: str = "spans") -> DataFrame:

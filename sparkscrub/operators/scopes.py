@@ -9,18 +9,17 @@ tells which of them occur in which part, and each part gets only those.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkscrub.catalog import DICTIONARY_TYPES, RANKED_TYPES, placeholder, select_entities
-from sparkscrub.functions.html import html_text_sql, mask_html_sql
-from sparkscrub.functions.mask import replace_sql
 from sparkscrub.functions.spans import NO_KEYS, order_keys_sql, placeholder_sql, ranked_values_sql
 from sparkscrub.functions.sqltext import let, literal
 from sparkscrub.operators.gazetteer import gazetteer_values
 from sparkscrub.operators.matching import find_values
+from sparkscrub.plans.handlers import Handler, analysed_sql, masked_sql
 from sparkscrub.plans.sizing import fits_broadcast, hot_keys, materialize, salted_join
 
 # A scope with more values than this is handled by lookup, not by folding its map.
@@ -29,20 +28,6 @@ MAX_FOLDED_KEYS = 200
 _KEYS = "collect_list(struct(value, placeholder))"
 
 
-def analysed_sql(text: str, kind: str | None) -> str:
-    """What detection looks at: the visible text of HTML parts, other parts as they are."""
-    if kind is None:
-        return text
-    return let(text, lambda t: f"CASE WHEN {kind} = 'html' THEN {html_text_sql(t)} ELSE {t} END", "t")
-
-
-def masked_sql(text: str, keys: str, kind: str | None) -> str:
-    plain = replace_sql(text, keys)
-    if kind is None:
-        return plain
-    return f"CASE WHEN {kind} = 'html' THEN {mask_html_sql(text, keys)} ELSE {plain} END"
-
-
 def _scope_sql(scope: list[str]) -> str:
     """One text per scope; a missing scope is a scope of its own, so its rows are masked too."""
     return f"to_json(struct({', '.join(scope)}), map('ignoreNullFields', 'false'))"
@@ -56,6 +41,7 @@ def scope_keys(
     entities: Iterable[str] | None = None,
     terms: dict | DataFrame | None = None,
     kind: str | None = None,
+    handlers: Mapping[str, Handler] | None = None,
 ) -> DataFrame:
     """Rows ``scope..., value, placeholder``: the replacement map of each scope.
 
@@ -63,7 +49,7 @@ def scope_keys(
     shuffle, so a scope that holds a third of the data is no hot spot.
     """
     chosen = select_entities(entities)
-    analysed = analysed_sql(text, kind)
+    analysed = let(text, lambda t: analysed_sql(t, kind, handlers), "t")
     inline = terms if isinstance(terms, dict) else None
     hits = df.select(*scope, F.expr(f"inline({ranked_values_sql(analysed, chosen, inline)})"))
     if isinstance(terms, DataFrame):
@@ -84,6 +70,7 @@ def scrub_with_keys(
     kind: str | None = None,
     output: str = "masked",
     max_folded_keys: int = MAX_FOLDED_KEYS,
+    handlers: Mapping[str, Handler] | None = None,
 ) -> DataFrame:
     """Mask each row of ``df`` with the replacement map of its scope.
 
@@ -116,14 +103,14 @@ def scrub_with_keys(
 
     maps = folded_keys.groupBy("_scope").agg(F.expr(_KEYS).alias("_keys"))
     maps = maps.withColumn("_keys", F.expr(order_keys_sql("_keys")))
-    masked = _mask_with_maps(folded_parts, maps, hot_parts, key, text, kind, output).select(*out)
+    masked = _mask_with_maps(folded_parts, maps, hot_parts, key, text, kind, handlers, output).select(*out)
     if has_large:
-        more = _mask_by_lookup(large_parts, large_keys, hot_parts, key, text, kind, output)
+        more = _mask_by_lookup(large_parts, large_keys, hot_parts, key, text, kind, handlers, output)
         masked = masked.unionByName(more.select(*out))
     return masked
 
 
-def _mask_with_maps(parts, maps, hot_parts, key, text, kind, output) -> DataFrame:
+def _mask_with_maps(parts, maps, hot_parts, key, text, kind, handlers, output) -> DataFrame:
     """Carry each scope's ordered keys to its parts. Scopes without hits stay as they are."""
     maps = materialize(maps, "scope-maps")
     if fits_broadcast(maps):
@@ -131,15 +118,15 @@ def _mask_with_maps(parts, maps, hot_parts, key, text, kind, output) -> DataFram
     else:
         joined = salted_join(parts, maps, ["_scope"], hot_parts, key, "left")
     keys = f"coalesce(_keys, {NO_KEYS})"
-    return joined.withColumn(output, F.expr(let(keys, lambda k: masked_sql(text, k, kind), "k")))
+    return joined.withColumn(output, F.expr(let(keys, lambda k: masked_sql(text, k, kind, handlers), "k")))
 
 
-def _mask_by_lookup(parts, keys, hot_parts, key, text, kind, output) -> DataFrame:
+def _mask_by_lookup(parts, keys, hot_parts, key, text, kind, handlers, output) -> DataFrame:
     """Give each part the keys that occur in it."""
     keys = materialize(keys, "large-scope-keys")
     parts = parts.withColumn("_part", F.expr(_scope_sql(key)))
     key = ["_part"]
-    analysed = parts.select("_scope", *key, F.expr(analysed_sql(text, kind)).alias("_analysed"))
+    analysed = parts.select("_scope", *key, F.expr(analysed_sql(text, kind, handlers)).alias("_analysed"))
     found = find_values(analysed, keys, ["_scope"], key, "_analysed")
     on = ["_scope", "value"]
     if fits_broadcast(keys):
@@ -164,5 +151,5 @@ def _mask_by_lookup(parts, keys, hot_parts, key, text, kind, output) -> DataFram
         joined = salted_join(joined, meeting, ["_scope"], hot_parts, key, "left")
     both = f"array_distinct(concat(coalesce(_found, {NO_KEYS}), coalesce(_meeting, {NO_KEYS})))"
     return joined.withColumn(
-        output, F.expr(let(order_keys_sql(both), lambda k: masked_sql(text, k, kind), "k"))
+        output, F.expr(let(order_keys_sql(both), lambda k: masked_sql(text, k, kind, handlers), "k"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +13,10 @@ from sparkscrub.functions.spans import keys_sql, resolve_overlaps_sql, spans_sql
 from sparkscrub.functions.sqltext import let
 from sparkscrub.operators.scopes import (
     MAX_FOLDED_KEYS,
-    analysed_sql,
-    masked_sql,
     scope_keys,
     scrub_with_keys,
 )
+from sparkscrub.plans.handlers import Handler, analysed_sql, masked_sql
 from sparkscrub.plans.sizing import materialize
 
 
@@ -31,6 +30,7 @@ def scrub(
     kind: str | None = None,
     output: str = "masked",
     max_folded_keys: int = MAX_FOLDED_KEYS,
+    handlers: Mapping[str, Handler] | None = None,
 ) -> DataFrame:
     """Add ``output``: the text with the values of the chosen types masked.
 
@@ -38,13 +38,16 @@ def scrub(
     streams. With ``scope`` a value found in any row of the scope is masked in all of
     them; ``key`` then names the columns that identify a row. ``terms`` are names,
     places and groups to look for: a dict of short lists, or a table ``term,
-    entity_type`` of any size. ``kind`` names a column that says ``html`` for pages.
+    entity_type`` of any size. ``kind`` names a column that says ``html`` for pages;
+    ``handlers`` adds other kinds.
     """
     if scope is None and not isinstance(terms, DataFrame):
         row = let(
             text,
             lambda t: let(
-                keys_sql(analysed_sql(t, kind), entities, terms), lambda k: masked_sql(t, k, kind), "k"
+                keys_sql(analysed_sql(t, kind, handlers), entities, terms),
+                lambda k: masked_sql(t, k, kind, handlers),
+                "k",
             ),
             "t",
         )
@@ -53,8 +56,8 @@ def scrub(
         raise ValueError("name the columns that identify a row in key=[...]")
     # A row is its own scope when only the table of terms makes a join necessary.
     scope = scope or key
-    keys = materialize(scope_keys(df, scope, text, key, entities, terms, kind), "scope-keys")
-    return scrub_with_keys(df, keys, scope, key, text, kind, output, max_folded_keys)
+    keys = materialize(scope_keys(df, scope, text, key, entities, terms, kind, handlers), "scope-keys")
+    return scrub_with_keys(df, keys, scope, key, text, kind, output, max_folded_keys, handlers)
 
 
 def scrub_by_position(
