@@ -28,7 +28,7 @@ SPACED_CARD = (
     r"|[0-9]{4} [0-9]{6} [0-9]{4,5}[\p{L}0-9]*+"
     r"|" + TOKEN_WITH_DIGIT
 )
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,20}[A-Za-z]{2,24}"
 PHONE = (
     r"\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}"
     r"|\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}"
@@ -117,8 +117,8 @@ def _ip6(value: str) -> str:
     full = f"(?:{group}:){{7}}{group}"
     groups = f"size(regexp_extract_all({value}, '[0-9A-Fa-f]+', 0))"
     return (
-        f"({value} RLIKE {raw(f'^{full}$')} OR "
-        f"({value} RLIKE {raw(f'^{some}::{some}$')} AND {groups} BETWEEN 1 AND 7))"
+        f"(length({value}) <= 39 AND ({value} RLIKE {raw(f'^{full}$')} OR "
+        f"({value} RLIKE {raw(f'^{some}::{some}$')} AND {groups} BETWEEN 1 AND 7)))"
     )
 
 
@@ -159,13 +159,17 @@ class Family:
     def chosen(self, entities: tuple[str, ...]) -> Family:
         return replace(self, rules=tuple(r for r in self.rules if r.entity_type in entities))
 
-    def guarded(self, text: str, found: str) -> str:
-        """``found``, computed only for a text that may hold a hit."""
+    def may_match(self, text: str) -> str:
+        """A test that every text with a hit passes."""
         guards = [r.guard for r in self.rules]
         tests = [matches_any(text, [self.gate])] if self.gate else []
         if all(guards):
             tests.append(matches_any(text, guards))
-        return f"CASE WHEN {' AND '.join(tests)} THEN {found} ELSE array() END" if tests else found
+        return f"({' AND '.join(tests)})" if tests else "true"
+
+    def guarded(self, text: str, found: str) -> str:
+        """``found``, computed only for a text that may hold a hit."""
+        return f"CASE WHEN {self.may_match(text)} THEN {found} ELSE array() END"
 
     def ranks(self, value: str) -> str:
         """The ranks of the types that accept a candidate."""

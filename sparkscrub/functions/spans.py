@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkscrub.catalog import RANK, RANKED_TYPES, placeholder, select_entities
+from sparkscrub.catalog import RANKED_TYPES, placeholder, select_entities
 from sparkscrub.functions.detectors import families_for, family_spans, family_values
 from sparkscrub.functions.sqltext import let, literal, name, raw
 
@@ -81,6 +81,12 @@ def ranked_values_sql(text: str, entities: Iterable[str] | None = None, terms: d
     return let(text, body, "t")
 
 
+def may_hold_sql(text: str, entities: Iterable[str] | None = None) -> str:
+    """A cheap test that every text with a hit of the chosen types passes."""
+    tests = [f.may_match(text) for f in families_for(select_entities(entities))]
+    return "(" + " OR ".join(tests) + ")" if tests else "false"
+
+
 def order_keys_sql(keys: str) -> str:
     """Longest value first, equal lengths by value; empty values and no-ops are left out."""
     k = name("k")
@@ -183,10 +189,11 @@ def resolve_overlaps(spans: str, threshold: float = 0.5) -> Column:
     return F.expr(resolve_overlaps_sql(spans, threshold))
 
 
+def may_hold(text: str, entities: Iterable[str] | None = None) -> Column:
+    """Column: can the text hold a hit? False is certain, true is not."""
+    return F.expr(may_hold_sql(text, entities))
+
+
 def entity_placeholder(entity_type: str) -> Column:
     """Column ``<ENTITY_TYPE>`` for a column of entity types."""
     return F.expr(f"concat('<', {entity_type}, '>')")
-
-
-def known_rank(entity_type: str) -> int:
-    return RANK[entity_type]

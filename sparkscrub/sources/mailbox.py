@@ -10,6 +10,8 @@ from __future__ import annotations
 import email
 from collections.abc import Iterator
 from email import policy
+from email.policy import EmailPolicy
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,21 @@ PART_FIELDS = {
 }
 PARTS_TYPE = "array<struct<" + ",".join(f"{f}:{t}" for f, t in PART_FIELDS.items()) + ">>"
 
+
+@lru_cache(maxsize=4096)
+def _parsed_header(name_: str, value: str):
+    return policy.default.header_fetch_parse(name_, value)
+
+
+class _ReadPolicy(EmailPolicy):
+    """The default policy; each distinct header is parsed once, not at each access."""
+
+    def header_fetch_parse(self, name, value):
+        return _parsed_header(name, value)
+
+
+_POLICY = _ReadPolicy()
+
 # Rows per output batch of the parser; messages can be large.
 _ROWS_OUT = 64
 
@@ -76,7 +93,7 @@ def _walk(part, path: str) -> Iterator[dict]:
 
 def _parse(raw: bytes) -> tuple[str, list[dict], list[dict]]:
     try:
-        message = email.message_from_bytes(raw, policy=policy.default)
+        message = email.message_from_bytes(raw, policy=_POLICY)
         headers = [
             {"ord": i, "name": str(n), "value": str(v)} for i, (n, v) in enumerate(message.items())
         ]
