@@ -22,6 +22,7 @@ from sparkscrub.operators.gazetteer import gazetteer_spans
 from sparkscrub.operators.matching import find_values
 from sparkscrub.operators.scopes import scope_keys
 from sparkscrub.plans import providers
+from sparkscrub.plans.expand import expand
 from sparkscrub.plans.handlers import Handler
 from sparkscrub.plans.sizing import materialize, scratch_dir
 from sparkscrub.sources import mailbox
@@ -186,7 +187,7 @@ def _blank(spark, sf_dir):
     "prefilter_documents",
     "SELECT doc_id, contains(text, '@') AS email, regexp_matches(text, '://|(?i:www)\\.') AS url, "
     "regexp_matches(text, '[0-9]\\.[0-9]{1,3}\\.[0-9]') OR regexp_matches(text, ':[0-9A-Fa-f]{0,4}:') AS ip, "
-    "regexp_matches(text, '[0-9]{8}') AS bank FROM documents",
+    "regexp_matches(text, '[0-9]{7}') AS bank FROM documents",
 )
 def _prefilter(spark, sf_dir):
     return documents(spark, sf_dir).select(
@@ -645,7 +646,7 @@ def _scrubbed_messages(spark, sf_dir):
 
 @query("mask_message_headers", messages_data.MASKED_HEADERS_SQL)
 def _masked_headers(spark, sf_dir):
-    return _scrubbed_messages(spark, sf_dir).select("path", F.inline("headers"))
+    return expand(_scrubbed_messages(spark, sf_dir), ["path"], F.inline_outer("headers"), "ord")
 
 
 @query("mask_message_parts", messages_data.MASKED_PARTS_SQL)

@@ -40,7 +40,8 @@ URL = (
 MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]{0,6}"
 RELATIVE_DAY = r"(?i:yesterday|today|tomorrow|tonight|(?:last|next|this) (?:week|month|year))"
 DATE_TIME = (
-    r"(?<![\p{L}0-9])(?:"
+    # The first look-ahead is only there to give up early.
+    r"(?=[0-9JFMASONDYTLNytln])(?<![\p{L}0-9])(?:"
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2})?)?"
     r"|[0-9]{1,2}/[0-9]{1,2}/(?:[0-9]{4}|[0-9]{2})"
     r"|" + MONTH + r"\.? [0-9]{1,2}(?:st|nd|rd|th)?,? [0-9]{4}"
@@ -177,6 +178,9 @@ class Family:
         return f"array_compact(array({tests}))"
 
 
+# One guard for all types that are runs of seven digits or more.
+DIGITS = "[0-9]{7}"
+
 FAMILIES = (
     Family(
         TOKEN_WITH_DIGIT,
@@ -186,17 +190,18 @@ FAMILIES = (
                 "[A-Z]{2}[0-9]{2}[A-Z0-9]{11}",
                 _whole("[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", _mod97),
             ),
-            Rule("CREDIT_CARD", "[0-9]{12}", _whole("[0-9]{12,19}", _luhn)),
+            Rule("CREDIT_CARD", DIGITS, _whole("[0-9]{12,19}", _luhn)),
             Rule(
                 "CRYPTO",
-                "[A-Za-z0-9]{26}|bc1[a-z0-9]{11}",
+                "[13][A-Za-z0-9]{25}|bc1[a-z0-9]{11}",
                 _whole("[13][1-9A-HJ-NP-Za-km-z]{25,34}|bc1[02-9ac-hj-np-z]{11,71}"),
             ),
-            Rule("MEDICAL_LICENSE", "[A-Za-z]{2}[0-9]{7}", _whole("[A-Za-z]{2}[0-9]{7}", _dea)),
-            Rule("US_ITIN", "9[0-9]{8}", _whole("9[0-9]{8}")),
-            Rule("US_PASSPORT", "[A-Za-z0-9][0-9]{8}", _whole("[A-Za-z0-9][0-9]{8}")),
-            Rule("US_BANK_NUMBER", "[0-9]{8}", _whole("[0-9]{8,17}")),
+            Rule("MEDICAL_LICENSE", DIGITS, _whole("[A-Za-z]{2}[0-9]{7}", _dea)),
+            Rule("US_ITIN", DIGITS, _whole("9[0-9]{8}")),
+            Rule("US_PASSPORT", DIGITS, _whole("[A-Za-z0-9][0-9]{8}")),
+            Rule("US_BANK_NUMBER", DIGITS, _whole("[0-9]{8,17}")),
         ),
+        gate="[0-9]",
     ),
     Family(
         DASHED_GROUPS,
@@ -232,9 +237,9 @@ FAMILIES = (
         ),
     ),
     Family(EMAIL, (Rule("EMAIL_ADDRESS", "@"),)),
-    Family(URL, (Rule("URL", r"://|(?i:www)\."),)),
+    Family(URL, (Rule("URL", r"(?=[:Ww])(?:://|(?i:www)\.)"),)),
     Family(PHONE, (Rule("PHONE_NUMBER", r"[+(][0-9]{1,3}[ .()0-9-]", _phone_digits),)),
-    Family(DATE_TIME, (Rule("DATE_TIME", "[0-9]|" + RELATIVE_DAY),)),
+    Family(DATE_TIME, (Rule("DATE_TIME", "[0-9]|(?=[YTLNytln])" + RELATIVE_DAY),)),
     Family(
         DRIVER_LICENSE,
         (Rule("US_DRIVER_LICENSE", "(?i:licen[cs]e)", _whole("[A-Za-z]{0,3}[0-9]{4,14}[A-Za-z]?")),),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkscrub.functions.spans import SPANS_TYPE, spans_sql
 from sparkscrub.functions.sqltext import let
+from sparkscrub.plans.expand import expand
 from sparkscrub.plans.handlers import analysed_sql
 
 
@@ -26,10 +27,9 @@ def detect(
 
 def explode_spans(df: DataFrame, spans: str = "spans") -> DataFrame:
     """One row per span; rows without a span drop out."""
-    if not any(f.name == spans for f in df.schema.fields):
+    if spans not in df.columns:
         raise ValueError(f"no column {spans} of type {SPANS_TYPE}")
-    rest = [c for c in df.columns if c != spans]
-    return df.select(*rest, F.inline(spans))
+    return expand(df, [c for c in df.columns if c != spans], F.inline_outer(spans), "start")
 
 
 def select_spans(spans: DataFrame, entities: Iterable[str] | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from sparkscrub.catalog import DICTIONARY_TYPES, RANK
 from sparkscrub.functions.spans import resolve_overlaps_sql
 from sparkscrub.functions.sqltext import let, name
 from sparkscrub.operators.matching import quote_sql
+from sparkscrub.plans.expand import expand
 from sparkscrub.plans.sizing import fits_broadcast, join_vocabulary, materialize
 
 WORD = r"[\p{L}0-9]"
@@ -72,7 +73,8 @@ def _prepare_terms(terms: DataFrame) -> tuple[DataFrame, list[int]]:
 def _matches(
     df: DataFrame, terms: DataFrame, text: str, key: list[str], max_broadcast_rows: int | None
 ) -> DataFrame:
-    """Rows ``key, term, entity_type, positions`` of the terms found in each text."""
+    """Rows ``key, term, entity_type, positions``: terms whose words stand in a text, and where
+    the term itself does (nowhere, if only its punctuation differs)."""
     terms, words = _prepare_terms(terms)
     texts = df.select(*key, F.expr(text).alias("_text"))
     if not words:
@@ -85,12 +87,13 @@ def _matches(
     terms = materialize(terms, "terms")
     in_place = fits_broadcast(terms, max_broadcast_rows)
     carried = ["_text"] if in_place else []
-    phrases = texts.select(*key, *carried, F.explode(F.expr(_phrases_sql("_text", words))).alias("phrase"))
+    runs = F.explode_outer(F.expr(_phrases_sql("_text", words))).alias("phrase")
+    phrases = expand(texts, [*key, *carried], runs, "phrase")
     found = join_vocabulary(phrases, terms, ["phrase"], key, max_broadcast_rows)
     if not in_place:
         found = found.join(texts, key)
     positions = F.expr(_positions_sql("_text", "term")).alias("positions")
-    return found.select(*key, "term", "entity_type", positions).where("size(positions) > 0")
+    return found.select(*key, "term", "entity_type", positions)
 
 
 def gazetteer_values(
@@ -104,7 +107,7 @@ def gazetteer_values(
     key = key or ["part_id"]
     found = _matches(df, terms, text, key, max_broadcast_rows)
     rank = F.expr("CASE entity_type " + " ".join(f"WHEN '{t}' THEN {RANK[t]}" for t in DICTIONARY_TYPES) + " END")
-    return found.select(*key, F.col("term").alias("value"), rank.alias("rank"))
+    return found.where("size(positions) > 0").select(*key, F.col("term").alias("value"), rank.alias("rank"))
 
 
 def gazetteer_spans(
@@ -120,7 +123,8 @@ def gazetteer_spans(
     """
     key = key or ["part_id"]
     found = _matches(df, terms, text, key, max_broadcast_rows)
-    spans = found.select(*key, "term", "entity_type", F.explode("positions").alias("start")).select(
+    rows = expand(found, [*key, "term", "entity_type"], F.explode_outer("positions").alias("start"), "start")
+    spans = rows.select(
         *key,
         F.struct(
             "start",

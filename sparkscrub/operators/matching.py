@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkscrub.functions.sqltext import let
+from sparkscrub.plans.expand import expand
 from sparkscrub.plans.sizing import fits_broadcast, hot_keys, join_vocabulary, materialize, salted_join
 
 # Lengths of the first characters that are looked up: a string uses the longest
@@ -75,12 +76,13 @@ def find_values(
     # One gram per row, without the text where the rows have to be moved.
     in_place = fits_broadcast(anchors, max_broadcast_rows)
     carried = ["_text"] if in_place else []
-    grams = texts.select(*scope, *key, *carried, F.explode(F.expr(_grams_sql("_text", present))).alias("prefix"))
+    pieces = F.explode_outer(F.expr(_grams_sql("_text", present))).alias("prefix")
+    grams = expand(texts, [*scope, *key, *carried], pieces, "prefix")
     near = join_vocabulary(grams, anchors, [*scope, "prefix"], key, max_broadcast_rows)
     if not in_place:
         near = near.join(texts, [*scope, *key])
-    found = F.explode(F.expr(_occurrences_sql("_text", "prefix", "lengths"))).alias("value")
-    candidates = materialize(near.select(*scope, *key, found), "candidates")
+    found = F.explode_outer(F.expr(_occurrences_sql("_text", "prefix", "lengths"))).alias("value")
+    candidates = materialize(expand(near, [*scope, *key], found, "value"), "candidates")
     if fits_broadcast(values, max_broadcast_rows):
         return candidates.join(F.broadcast(values), [*scope, "value"], "left_semi")
     on = [*scope, "value"]

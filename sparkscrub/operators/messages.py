@@ -14,7 +14,7 @@ from sparkscrub.functions.mask import filename_sql, mask_headers_sql
 from sparkscrub.functions.spans import keys_sql
 from sparkscrub.functions.sqltext import let, name
 from sparkscrub.plans.handlers import Handler, analysed_sql, masked_sql
-from sparkscrub.sources.mailbox import PART_FIELDS
+from sparkscrub.sources.mailbox import PART_FIELDS, message_parts
 
 TEXT_KINDS = ("text", "html", "named_text", "named_html", "preamble", "epilogue")
 _TEXT_KINDS = "(" + ", ".join(f"'{k}'" for k in TEXT_KINDS) + ")"
@@ -116,11 +116,7 @@ def quarantine(messages: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("part_no"),
         *(F.lit(None).cast(PART_FIELDS[f]).alias(f) for f in fields),
     )
-    held = (
-        messages.where("status = 'ok'")
-        .select("path", F.inline("parts"))
-        .where(f"text IS NULL OR kind NOT IN {_TEXT_KINDS}")
-    )
+    held = message_parts(messages.where("status = 'ok'")).where(f"text IS NULL OR kind NOT IN {_TEXT_KINDS}")
     reason = F.expr("CASE WHEN maintype = 'text' THEN 'unreadable_text' ELSE concat('binary_', kind) END")
     return held.select("path", reason.alias("status"), "part_no", *fields).unionByName(unreadable)
 
@@ -129,7 +125,7 @@ def text_attachments(scrubbed: DataFrame) -> DataFrame:
     """The masked named text parts: ``path, part_path, filename, content, maintype, subtype``,
     with disposition, charset and content id."""
     return (
-        scrubbed.select("path", F.inline("parts"))
+        message_parts(scrubbed)
         .where("kind IN ('named_text', 'named_html')")
         .select(
             "path",

@@ -19,6 +19,7 @@ from sparkscrub.functions.spans import NO_KEYS, order_keys_sql, placeholder_sql,
 from sparkscrub.functions.sqltext import let, literal
 from sparkscrub.operators.gazetteer import gazetteer_values
 from sparkscrub.operators.matching import find_values
+from sparkscrub.plans.expand import expand
 from sparkscrub.plans.handlers import Handler, analysed_sql, masked_sql
 from sparkscrub.plans.sizing import fits_broadcast, hot_keys, materialize, salted_join
 
@@ -51,7 +52,7 @@ def scope_keys(
     chosen = select_entities(entities)
     analysed = let(text, lambda t: analysed_sql(t, kind, handlers), "t")
     inline = terms if isinstance(terms, dict) else None
-    hits = df.select(*scope, F.expr(f"inline({ranked_values_sql(analysed, chosen, inline)})"))
+    hits = expand(df, scope, F.expr(f"inline_outer({ranked_values_sql(analysed, chosen, inline)})"), "value")
     if isinstance(terms, DataFrame):
         listed = terms.where(F.col("entity_type").isin([t for t in DICTIONARY_TYPES if t in chosen]))
         key = [c for c in (key or ["part_id"]) if c not in scope]

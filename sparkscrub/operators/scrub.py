@@ -16,6 +16,7 @@ from sparkscrub.operators.scopes import (
     scope_keys,
     scrub_with_keys,
 )
+from sparkscrub.plans.expand import expand
 from sparkscrub.plans.handlers import Handler, analysed_sql, masked_sql
 from sparkscrub.plans.sizing import materialize
 
@@ -102,7 +103,8 @@ def mask_fragments(
         )
 
     rest = [c for c in df.columns if c != text]
-    found = df.select(*rest, F.posexplode(F.expr(let(text, body, "t"))).alias("fragment_no", "_fragment"))
+    pieces_of = F.posexplode_outer(F.expr(let(text, body, "t"))).alias("fragment_no", "_fragment")
+    found = expand(df, rest, pieces_of, "fragment_no")
     return found.select(*rest, "fragment_no", "_fragment.*")
 
 

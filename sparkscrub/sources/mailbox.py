@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkscrub.functions.sqltext import name
+from sparkscrub.plans.expand import expand
 
 HEADERS_TYPE = "array<struct<ord:int,name:string,value:string>>"
 PART_FIELDS = {
@@ -168,10 +169,9 @@ def read_mailbox(spark: SparkSession, path: str, glob: str = "*.eml") -> DataFra
 
 def message_headers(messages: DataFrame) -> DataFrame:
     """One row per header, in order, repeats kept, empty values dropped."""
-    rows = messages.select("path", F.inline("headers"))
-    return rows.where("value IS NOT NULL AND value <> ''")
+    return expand(messages, ["path"], F.inline_outer("headers"), "ord").where("value <> ''")
 
 
 def message_parts(messages: DataFrame) -> DataFrame:
     """One row per leaf part, with rows for preamble and epilogue, in document order."""
-    return messages.select("path", F.inline("parts"))
+    return expand(messages, ["path"], F.inline_outer("parts"), "part_no")
