@@ -25,14 +25,14 @@ FIXED_SALTS = 16
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="sparkscrub-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkscrub-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -61,7 +61,7 @@ def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
 
 
 def hot_keys(
-    df: DataFrame, keys: list[str], share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS
+    df: DataFrame, keys: list[str], share: float = HOT_SHARE, min_rows: int | None = None
 ) -> DataFrame | None:
     """The keys that hold more than ``share`` of the rows, with the number of salts each needs.
 
@@ -69,7 +69,7 @@ def hot_keys(
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = df.count()
-    limit = max(min_rows, int(total * share))
+    limit = max(HOT_MIN_ROWS if min_rows is None else min_rows, int(total * share))
     if total <= limit:
         return None
     rows = counts.where(F.col("_n") > limit).withColumn("_salts", F.ceil(F.col("_n") / limit).cast("int"))
