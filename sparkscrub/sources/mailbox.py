@@ -157,7 +157,8 @@ def parse_messages(files: DataFrame) -> DataFrame:
 
 
 def read_mailbox(spark: SparkSession, path: str, glob: str = "*.eml") -> DataFrame:
-    """A folder of email files, read at any depth, to one row per message."""
+    """A folder of email files, read at any depth, to one row per message. A file
+    without a single byte holds no message and gives no row."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
