@@ -26,7 +26,7 @@ from sparkscrub.plans.expand import expand
 from sparkscrub.plans.handlers import Handler
 from sparkscrub.plans.sizing import materialize, scratch_dir
 from sparkscrub.sources import mailbox
-from sparkscrub.sources.tables import text_parts, write_masked
+from sparkscrub.sources.tables import read_texts, text_parts, write_masked
 from sparkscrub.streaming.jobs import read_text_stream, scrub_stream, write_masked_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,17 +50,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return read_texts(spark, f"{sf_dir}/documents.parquet", ["doc_id", "source", "text"], ["doc_id"])
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "html")
+    return read_texts(spark, f"{sf_dir}/pages.parquet", ["page_id", "html"], ["page_id"])
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One note per order, with values of all entity types."""
-    names = ("orders", "customer", "nation", "region")
-    return spark.sql(o.NOTES.format(**{n: f"parquet.`{sf_dir}/{n}.parquet`" for n in names}))
+    names = ("customer", "nation", "region")
+    orders = read_texts(
+        spark, f"{sf_dir}/orders.parquet", ["o_orderkey", "o_custkey", "o_orderdate"], ["o_orderkey"]
+    )
+    files = {n: f"parquet.`{sf_dir}/{n}.parquet`" for n in names}
+    return spark.sql(o.NOTES.format(orders="{orders}", **files), orders=orders)
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -760,7 +764,7 @@ def _leak_check(spark, sf_dir):
 )
 def _residual(spark, sf_dir):
     masked = scrubbing.scrub(notes(spark, sf_dir).select("note_id", "text"), entities=o.FOUR)
-    left = explode_spans(reports.residual_pii(masked.select("note_id", "masked")))
+    left = reports.residual_pii(masked.select("note_id", "masked"))
     return left.groupBy("note_id", "entity_type").agg(F.count("*").alias("hits"))
 
 

@@ -149,13 +149,15 @@ class Family:
 
     With ``group`` set, the value is that capture group; the group must end
     where the match ends. ``gate`` is a first test, without alternatives and so
-    faster than the guards, that all rules share.
+    faster than the guards, that all rules share; ``shortest`` is the length below
+    which no rule accepts a candidate.
     """
 
     pattern: str
     rules: tuple[Rule, ...]
     group: int = 0
     gate: str = ""
+    shortest: int = 0
 
     def chosen(self, entities: tuple[str, ...]) -> Family:
         return replace(self, rules=tuple(r for r in self.rules if r.entity_type in entities))
@@ -175,7 +177,10 @@ class Family:
     def ranks(self, value: str) -> str:
         """The ranks of the types that accept a candidate."""
         tests = ", ".join(f"CASE WHEN {r.accept(value)} THEN {r.rank} END" for r in self.rules)
-        return f"array_compact(array({tests}))"
+        accepted = f"array_compact(array({tests}))"
+        if not self.shortest:
+            return accepted
+        return f"CASE WHEN length({value}) >= {self.shortest} THEN {accepted} ELSE array() END"
 
 
 # One guard for all types that are runs of seven digits or more.
@@ -202,6 +207,7 @@ FAMILIES = (
             Rule("US_BANK_NUMBER", DIGITS, _whole("[0-9]{8,17}")),
         ),
         gate="[0-9]",
+        shortest=8,
     ),
     Family(
         DASHED_GROUPS,
@@ -212,6 +218,7 @@ FAMILIES = (
             Rule("PHONE_NUMBER", "[0-9]{3}-[0-9]{3}-[0-9]{4}", _whole("[0-9]{3}-[0-9]{3}-[0-9]{4}")),
         ),
         gate="[0-9]-[0-9]",
+        shortest=11,
     ),
     Family(
         DOTTED_GROUPS,
@@ -224,6 +231,7 @@ FAMILIES = (
             ),
         ),
         gate=r"[0-9]\.[0-9]",
+        shortest=7,
     ),
     Family(COLON_GROUPS, (Rule("IP_ADDRESS", ":[0-9A-Fa-f]{0,4}:", _ip6),)),
     Family(
@@ -235,6 +243,7 @@ FAMILIES = (
                 _whole("[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{4,5}", _luhn),
             ),
         ),
+        shortest=16,
     ),
     Family(EMAIL, (Rule("EMAIL_ADDRESS", "@"),)),
     Family(URL, (Rule("URL", r"(?=[:Ww])(?:://|(?i:www)\.)"),)),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkscrub.catalog import entity_catalog, select_entities
 from sparkscrub.functions.spans import ranked_values_sql
-from sparkscrub.operators.detect import detect
+from sparkscrub.operators.detect import detect, explode_spans
 from sparkscrub.operators.matching import find_values
 from sparkscrub.plans.sizing import materialize
 
@@ -44,8 +44,8 @@ def residual_pii(
     terms: dict | None = None,
     kind: str | None = None,
 ) -> DataFrame:
-    """Detect on the masked text again; every row that comes back is a leak."""
-    return detect(masked, text, entities, terms, kind, "spans").where(F.size("spans") > 0)
+    """Detect on the masked text again; every span that comes back, one per row, is a leak."""
+    return explode_spans(detect(masked, text, entities, terms, kind))
 
 
 def unmasked_rows(

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def read_texts(spark: SparkSession, path: str, columns: list[str], key: list[str], fmt: str = "parquet") -> DataFrame:
+    """Read a text table, spread over all cores if its files are too few.
+
+    Detection is bound by the processor. A table in one small file would be read, and
+    so detected on, by one task; it is hashed on its key first. A table with as many
+    splits as the cluster has cores is never moved.
+    """
+    df = spark.read.format(fmt).load(path).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_parts(
     df: DataFrame, text: str = "text", scope: list[str] | None = None, key: list[str] | None = None, kind: str = "text"
 ) -> DataFrame:
