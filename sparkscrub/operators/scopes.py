@@ -85,36 +85,35 @@ def scrub_with_keys(
     parts = df.select("*", scope_id)
     keys = keys.select(scope_id, "value", "placeholder")
     sizes = keys.groupBy("_scope").agg(F.count("*").alias("_n"))
-    large = sizes.where(F.col("_n") > max_folded_keys).select("_scope")
-    large = materialize(large, "large-scopes")
-    has_large = not large.isEmpty()
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    has_large = most > max_folded_keys
     hot_parts = hot_keys(parts.select("_scope"), ["_scope"])
 
     folded_keys, folded_parts = keys, parts
     if has_large:
+        large = materialize(sizes.where(F.col("_n") > max_folded_keys).select("_scope"), "large-scopes")
         if fits_broadcast(large):
-            is_large, hot = F.broadcast(large), None
+            large, hot_scopes, hot_rows = F.broadcast(large), None, None
         else:
-            is_large, hot = large, hot_keys(keys, ["_scope"])
-        folded_keys = salted_join(keys, is_large, ["_scope"], hot, ["value"], "left_anti")
-        hot = hot_parts if hot is not None else None
-        folded_parts = salted_join(parts, is_large, ["_scope"], hot, key, "left_anti")
-        large_keys = salted_join(keys, is_large, ["_scope"], hot, ["value"], "left_semi")
-        large_parts = salted_join(parts, is_large, ["_scope"], hot, key, "left_semi")
-
-    maps = folded_keys.groupBy("_scope").agg(F.expr(_KEYS).alias("_keys"))
-    maps = maps.withColumn("_keys", F.expr(order_keys_sql("_keys")))
-    masked = _mask_with_maps(folded_parts, maps, hot_parts, key, text, kind, handlers, output).select(*out)
+            hot_scopes, hot_rows = hot_keys(keys, ["_scope"]), hot_parts
+        folded_keys = salted_join(keys, large, ["_scope"], hot_scopes, ["value"], "left_anti")
+        large_keys = salted_join(keys, large, ["_scope"], hot_scopes, ["value"], "left_semi")
+        folded_parts = salted_join(parts, large, ["_scope"], hot_rows, key, "left_anti")
+        large_parts = salted_join(parts, large, ["_scope"], hot_rows, key, "left_semi")
+
+    masked = _mask_with_maps(folded_parts, folded_keys, hot_parts, key, text, kind, handlers, output).select(*out)
     if has_large:
         more = _mask_by_lookup(large_parts, large_keys, hot_parts, key, text, kind, handlers, output)
         masked = masked.unionByName(more.select(*out))
     return masked
 
 
-def _mask_with_maps(parts, maps, hot_parts, key, text, kind, handlers, output) -> DataFrame:
+def _mask_with_maps(parts, keys, hot_parts, key, text, kind, handlers, output) -> DataFrame:
     """Carry each scope's ordered keys to its parts. Scopes without hits stay as they are."""
-    maps = materialize(maps, "scope-maps")
-    if fits_broadcast(maps):
+    maps = keys.groupBy("_scope").agg(F.expr(_KEYS).alias("_keys"))
+    maps = maps.withColumn("_keys", F.expr(order_keys_sql("_keys")))
+    # The maps are no larger than the keys that they are made of.
+    if fits_broadcast(keys):
         joined = parts.join(F.broadcast(maps), "_scope", "left")
     else:
         joined = salted_join(parts, maps, ["_scope"], hot_parts, key, "left")
@@ -138,9 +137,10 @@ def _mask_by_lookup(parts, keys, hot_parts, key, text, kind, handlers, output) -
     per_part = found.groupBy("_scope", *key).agg(F.expr(_KEYS).alias("_found"))
 
     # Keys that may first match once a placeholder stands in the text: pieces of a
-    # placeholder, or strings that hold its brackets.
+    # placeholder, or strings that hold its brackets next to its letters. The detectors
+    # find none of these; a table of terms may list some.
     placed = ", ".join(literal(placeholder(t)) for t in RANKED_TYPES)
-    meets = f"exists(array({placed}), _p -> contains(_p, value)) OR value RLIKE '[<>]'"
+    meets = f"exists(array({placed}), _p -> contains(_p, value)) OR value RLIKE '<$|<[A-Z<]|^>|[A-Z>]>'"
     meeting = keys.where(meets).groupBy("_scope").agg(F.expr(_KEYS).alias("_meeting"))
     meeting = materialize(meeting, "meeting-keys")
     joined = parts.join(per_part, ["_scope", *key], "left")
