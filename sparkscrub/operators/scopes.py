@@ -10,6 +10,7 @@ tells which of them occur in which part, and each part gets only those.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +88,8 @@ def scrub_with_keys(
     sizes = keys.groupBy("_scope").agg(F.count("*").alias("_n"))
     most = sizes.agg(F.max("_n")).first()[0] or 0
     has_large = most > max_folded_keys
-    hot_parts = hot_keys(parts.select("_scope"), ["_scope"])
+    # Counted only where rows have to be moved, and then once.
+    hot_parts = cache(lambda: hot_keys(parts.select("_scope"), ["_scope"]))
 
     folded_keys, folded_parts = keys, parts
     if has_large:
@@ -95,7 +97,7 @@ def scrub_with_keys(
         if fits_broadcast(large):
             large, hot_scopes, hot_rows = F.broadcast(large), None, None
         else:
-            hot_scopes, hot_rows = hot_keys(keys, ["_scope"]), hot_parts
+            hot_scopes, hot_rows = hot_keys(keys, ["_scope"]), hot_parts()
         folded_keys = salted_join(keys, large, ["_scope"], hot_scopes, ["value"], "left_anti")
         large_keys = salted_join(keys, large, ["_scope"], hot_scopes, ["value"], "left_semi")
         folded_parts = salted_join(parts, large, ["_scope"], hot_rows, key, "left_anti")
@@ -116,7 +118,7 @@ def _mask_with_maps(parts, keys, hot_parts, key, text, kind, handlers, output) -
     if fits_broadcast(keys):
         joined = parts.join(F.broadcast(maps), "_scope", "left")
     else:
-        joined = salted_join(parts, maps, ["_scope"], hot_parts, key, "left")
+        joined = salted_join(parts, maps, ["_scope"], hot_parts(), key, "left")
     keys = f"coalesce(_keys, {NO_KEYS})"
     return joined.withColumn(output, F.expr(let(keys, lambda k: masked_sql(text, k, kind, handlers), "k")))
 
@@ -149,7 +151,7 @@ def _mask_by_lookup(parts, keys, hot_parts, key, text, kind, handlers, output) -
     elif fits_broadcast(meeting):
         joined = joined.join(F.broadcast(meeting), "_scope", "left")
     else:
-        joined = salted_join(joined, meeting, ["_scope"], hot_parts, key, "left")
+        joined = salted_join(joined, meeting, ["_scope"], hot_parts(), key, "left")
     both = f"array_distinct(concat(coalesce(_found, {NO_KEYS}), coalesce(_meeting, {NO_KEYS})))"
     return joined.withColumn(
         output, F.expr(let(order_keys_sql(both), lambda k: masked_sql(text, k, kind, handlers), "k"))
