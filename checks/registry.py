@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import checks
 from checks import messages_data
 from checks import oracle as o
 from sparkscrub.catalog import entity_catalog, placeholder
@@ -24,6 +25,7 @@ from sparkscrub.operators.scopes import scope_keys
 from sparkscrub.plans import providers
 from sparkscrub.plans.expand import expand
 from sparkscrub.plans.handlers import Handler
+from sparkscrub.plans.shipping import ship_package
 from sparkscrub.plans.sizing import materialize, scratch_dir
 from sparkscrub.sources import mailbox
 from sparkscrub.sources.tables import read_texts, text_parts, write_masked
@@ -879,6 +881,7 @@ _MARKED = [
     ),
 )
 def _provider(spark, sf_dir):
+    ship_package(spark, checks)
     provider = providers.model_provider(_load_marker)
     return providers.scrub_with_provider(notes(spark, sf_dir), provider).select("note_id", "masked")
 
@@ -894,6 +897,7 @@ def _provider(spark, sf_dir):
     ),
 )
 def _provider_scope(spark, sf_dir):
+    ship_package(spark, checks)
     provider = providers.model_provider(_load_marker)
     masked = providers.scrub_with_provider(notes(spark, sf_dir), provider, scope=["cust_id"], key=["note_id"])
     return masked.select("note_id", "masked")

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import sparkscrub
 from sparkscrub.functions.mask import mask_with_map
 from sparkscrub.functions.spans import replacement_map
 from sparkscrub.operators.scopes import MAX_FOLDED_KEYS, scrub_with_keys
+from sparkscrub.plans.shipping import ship_package
 from sparkscrub.plans.sizing import materialize
 
 Provider = Callable[[Column], Column]
@@ -54,6 +56,7 @@ def scrub_with_provider(
     In a scope the maps of all rows are put together; where they give a value two
     replacements, the first in order of the alphabet is used.
     """
+    ship_package(df.sparkSession, sparkscrub)
     mapped = df.withColumn("_map", provider(F.col(text)))
     if scope is None:
         return mapped.withColumn(output, mask_with_map(text, "_map")).drop("_map")

@@ -17,8 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import sparkscrub
 from sparkscrub.functions.sqltext import name
 from sparkscrub.plans.expand import expand
+from sparkscrub.plans.shipping import ship_package
 
 HEADERS_TYPE = "array<struct<ord:int,name:string,value:string>>"
 PART_FIELDS = {
@@ -147,6 +149,7 @@ def parse_messages(files: DataFrame) -> DataFrame:
     """Rows ``path, content`` (raw bytes) to one row per message:
     ``path, status, headers, parts``. A message that cannot be parsed has a status
     other than ``ok`` and no parts."""
+    ship_package(files.sparkSession, sparkscrub)
     schema = f"path string, status string, headers {HEADERS_TYPE}, parts {PARTS_TYPE}"
     parsed = files.select("path", F.col("content").cast("binary")).mapInPandas(_parse_batches, schema)
     p = name("p")
