@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import registry
 from checks.compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+# The queries of sparkscrub/llm have tests of their own.
+QUERIES, SQL = registry.QUERIES, registry.SQL
 
 
 @pytest.fixture(scope="module")
