@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkscrub.llm.bpe import round_trip
+from sparkscrub.llm.quality import rate_quality
+from sparkscrub.llm.simhash import simhash_components
 from sparkscrub.llm.tokens import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,15 +22,25 @@ def op1_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark, sf_dir):
+    return rate_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op2_simhash,
         op4_byte_bpe,
+        op10_quality_rules,
     )
 }
 SQL: dict[str, str] = {}
