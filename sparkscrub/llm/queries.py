@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkscrub.llm.bpe import round_trip
+from sparkscrub.llm.decontaminate import contamination
 from sparkscrub.llm.quality import rate_quality
 from sparkscrub.llm.simhash import simhash_components
 from sparkscrub.llm.tokens import count_tokens
@@ -30,6 +31,10 @@ def op4_byte_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return rate_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Query] = {
         op1_token_counts,
         op2_simhash,
         op4_byte_bpe,
+        op6_decontamination,
         op10_quality_rules,
     )
 }
