@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkscrub.llm.bpe import round_trip
 from sparkscrub.llm.decontaminate import contamination
 from sparkscrub.llm.quality import rate_quality
 from sparkscrub.llm.simhash import simhash_components
+from sparkscrub.llm.substrings import remove_repeats
 from sparkscrub.llm.tokens import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +37,11 @@ def op6_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return rate_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +53,7 @@ QUERIES: dict[str, Query] = {
         op2_simhash,
         op4_byte_bpe,
         op6_decontamination,
+        op7_substring_dedup,
         op10_quality_rules,
     )
 }
