@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkscrub.llm.bpe import round_trip
 from sparkscrub.llm.decontaminate import contamination
+from sparkscrub.llm.lines import dedup_lines
 from sparkscrub.llm.quality import rate_quality
 from sparkscrub.llm.simhash import simhash_components
 from sparkscrub.llm.substrings import remove_repeats
@@ -33,6 +34,11 @@ def op4_byte_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark, sf_dir):
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Query] = {
         op1_token_counts,
         op2_simhash,
         op4_byte_bpe,
+        op5_line_dedup,
         op6_decontamination,
         op7_substring_dedup,
         op10_quality_rules,
