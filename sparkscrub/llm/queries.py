@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkscrub.llm.bpe import round_trip
 from sparkscrub.llm.decontaminate import contamination
+from sparkscrub.llm.licenses import scan_licenses
 from sparkscrub.llm.lines import dedup_lines
 from sparkscrub.llm.quality import rate_quality
 from sparkscrub.llm.simhash import simhash_components
@@ -48,6 +49,10 @@ def op7_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_license_scan(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return rate_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
         op5_line_dedup,
         op6_decontamination,
         op7_substring_dedup,
+        op9_license_scan,
         op10_quality_rules,
     )
 }
