@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkscrub.llm.article import extract_articles
 from sparkscrub.llm.bpe import round_trip
 from sparkscrub.llm.decontaminate import contamination
 from sparkscrub.llm.licenses import scan_licenses
@@ -49,6 +50,10 @@ def op7_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_html_article(spark, sf_dir):
+    return extract_articles(table(spark, sf_dir, "pages"))
+
+
 def op9_license_scan(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
         op5_line_dedup,
         op6_decontamination,
         op7_substring_dedup,
+        op8_html_article,
         op9_license_scan,
         op10_quality_rules,
     )
