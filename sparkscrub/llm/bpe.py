@@ -107,13 +107,19 @@ def decode_ids(
 
 
 def round_trip(
-    df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    path: str | None = None,
+    pattern: str | None = None,
+    keep: tuple[str, ...] = (),
+    with_ids: bool = False,
 ) -> DataFrame:
-    """``key, n_tokens, ids_sha256, decoded_sha256``: encode and decode each text in one pass.
+    """``key``, kept columns, ``n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids``.
 
-    The hashes are those of the ids as little-endian unsigned 32-bit integers and of the
-    decoded bytes, so neither ids nor texts have to be written. Nulls, empty and long
-    texts, repeated rows and empty tables as in ``encode_texts``.
+    Encodes and decodes each text in one pass. The hashes are those of the ids as
+    little-endian unsigned 32-bit integers and of the decoded bytes. Nulls, empty and
+    long texts, repeated rows and empty tables as in ``encode_texts``.
     """
 
     def make():
@@ -122,9 +128,12 @@ def round_trip(
         def one(text):
             ids = own.encode(text)
             packed = np.array(ids, "<u4").tobytes()
-            return len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+            out = len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+            return (*out, ids) if with_ids else out
 
         return lambda texts: [one(t) for t in texts]
 
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return map_texts(df, make, fields, key, text)
+    if with_ids:
+        fields.append(("ids", T.ArrayType(T.IntegerType())))
+    return map_texts(df, make, fields, key, text, keep)

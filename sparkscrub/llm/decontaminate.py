@@ -260,3 +260,14 @@ def contamination(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", **op
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def without_contaminated(
+    df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options
+) -> DataFrame:
+    """The rows of ``df`` that hold no window of a benchmark item; all columns stay. Options as in ``benchmark_hits``."""
+    _, runs = benchmark_hits(df, benchmark, key=key, text=text, **options)
+    hit = materialize(runs.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k")).distinct(), "contaminated")
+    hit = F.broadcast(hit) if fits_broadcast(hit) else hit
+    found = (F.xxhash64(F.col(f"`{text}`")) == F.col("_k")) & same(F.col(f"`{key}`"), F.col("_id"))
+    return df.join(hit, found, "left_anti")

@@ -12,6 +12,7 @@ from sparkscrub.llm.bpe import round_trip
 from sparkscrub.llm.decontaminate import contamination
 from sparkscrub.llm.licenses import scan_licenses
 from sparkscrub.llm.lines import dedup_lines
+from sparkscrub.llm.pii import find_personal_data, personal_data_digest
 from sparkscrub.llm.quality import rate_quality
 from sparkscrub.llm.simhash import simhash_components
 from sparkscrub.llm.substrings import remove_repeats
@@ -32,6 +33,10 @@ def op2_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark, sf_dir):
+    return personal_data_digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op4_byte_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_token_counts,
         op2_simhash,
+        op3_personal_data,
         op4_byte_bpe,
         op5_line_dedup,
         op6_decontamination,
