@@ -23,14 +23,14 @@ SCANS = {
     "dotted": _TOKEN + r"(?:\.[\p{L}0-9]+)+",
     "colons": r"[\p{L}0-9]*:[\p{L}0-9]*:[\p{L}0-9:]*",
     "spaced": r"[0-9]{4}(?: [0-9]{4}){3}[\p{L}0-9]*|[0-9]{4} [0-9]{6} [0-9]{4,5}[\p{L}0-9]*|" + _TOKEN,
-    "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}",
+    "email": r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z0-9-]+",
     "url": r"(?i:https?://|www\.)[^\x00-\x20<>\x22\x27]*[^\x00-\x20<>\x22\x27.,;:!?)\]}]",
     "phone": r"\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}|\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}",
     "dates": r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2})?)?"
     r"|[0-9]{1,2}/[0-9]{1,2}/(?:[0-9]{4}|[0-9]{2})|" + _MONTH + r"\.? [0-9]{1,2}(?:st|nd|rd|th)?,? [0-9]{4}"
     r"|[0-9]{1,2} " + _MONTH + r"\.? [0-9]{4}|[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[AaPp][Mm])?"
     r"|(?i:yesterday|today|tomorrow|tonight|(?:last|next|this) (?:week|month|year)))\b",
-    "licence": r"(?i:driver(?:[\x27’]?s)? licen[cs]e(?: (?:no\.?|number))?[ :#]{1,3})([A-Za-z0-9]{5,16})",
+    "licence": r"(?i:driver(?:[\x27’]?s)? licen[cs]e(?: (?:no\.?|number))?[ :#]{1,3})([A-Za-z0-9]{5,18})",
 }
 
 
@@ -81,7 +81,7 @@ RULES = [
         _full("[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}")
         + " AND value[1:3] NOT IN ('000', '666') AND value[5:6] <> '00' AND value[8:11] <> '0000'",
     ),
-    ("dashed", "PHONE_NUMBER", _full("[0-9]{3}-[0-9]{3}-[0-9]{4}")),
+    ("dashed", "PHONE_NUMBER", _full("(?:1-)?[0-9]{3}-[0-9]{3}-[0-9]{4}")),
     (
         "dotted",
         "IP_ADDRESS",
@@ -104,7 +104,7 @@ RULES = [
         "CREDIT_CARD",
         _checked(_full("[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{4,5}"), _LUHN),
     ),
-    ("email", "EMAIL_ADDRESS", "true"),
+    ("email", "EMAIL_ADDRESS", "regexp_matches(value, '@.*[.][A-Za-z]{2}')"),
     ("url", "URL", "true"),
     ("phone", "PHONE_NUMBER", "length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 7 AND 15"),
     ("dates", "DATE_TIME", "true"),

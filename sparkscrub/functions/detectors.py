@@ -19,19 +19,27 @@ from sparkscrub.catalog import DICTIONARY_TYPES, RANK
 from sparkscrub.functions.sqltext import let, matches_any, name, raw
 
 # The patterns of the candidates.
-TOKEN_WITH_DIGIT = r"\p{L}*+[0-9][\p{L}0-9]*+"
+# All start at the left edge of a run, so that no run is scanned again from its inside.
+EDGE = r"(?<![\p{L}0-9])"
+TOKEN_WITH_DIGIT = EDGE + r"\p{L}*+[0-9][\p{L}0-9]*+"
 DASHED_GROUPS = TOKEN_WITH_DIGIT + r"(?:-[\p{L}0-9]++)++"
 DOTTED_GROUPS = TOKEN_WITH_DIGIT + r"(?:\.[\p{L}0-9]++)++"
-COLON_GROUPS = r"[\p{L}0-9]*+:[\p{L}0-9]*+:[\p{L}0-9:]*+"
+# A colon at the end belongs to the groups only after another one; a dotted tail may follow.
+COLON_GROUPS = (
+    r"(?<![\p{L}0-9:])[\p{L}0-9]*+(?:(?::(?=[\p{L}0-9:])|(?<=:):)[\p{L}0-9]*+){2,}+"
+    r"(?:(?:\.[0-9]{1,3}){3}(?![\p{L}0-9]))?+"
+)
 SPACED_CARD = (
-    r"[0-9]{4}(?: [0-9]{4}){3}[\p{L}0-9]*+"
-    r"|[0-9]{4} [0-9]{6} [0-9]{4,5}[\p{L}0-9]*+"
+    EDGE + r"(?:[0-9]{4}(?: [0-9]{4}){3}[\p{L}0-9]*+"
+    r"|[0-9]{4} [0-9]{6} [0-9]{4,5}[\p{L}0-9]*+)"
     r"|" + TOKEN_WITH_DIGIT
 )
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,20}[A-Za-z]{2,24}"
+# Addresses and numbers of any length: a value is found whole or not at all.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 PHONE = (
-    r"\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}"
-    r"|\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}"
+    r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4}))++(?![0-9])"
+    r"|\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}(?![\p{L}0-9])"
+    r"|(?<![\p{L}0-9.,+-])(?<![0-9)] )[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?![\p{L}0-9]|[ .,-][0-9])"
 )
 URL = (
     r"(?i:https?://|www\.)[^\x00-\x20<>\x22\x27]*"
@@ -51,7 +59,7 @@ DATE_TIME = (
 )
 DRIVER_LICENSE = (
     r"(?i:driver(?:[\x27’]?s)? licen[cs]e(?: (?:no\.?|number))?[ :#]{1,3})"
-    r"([A-Za-z0-9]{5,16})"
+    r"([A-Za-z0-9]{5,18})(?![A-Za-z0-9])"
 )
 
 
@@ -102,6 +110,11 @@ def _whole(pattern: str, check: Callable[[str], str] | None = None) -> Callable[
     return accept
 
 
+def _named_domain(value: str) -> str:
+    """A label after the first of the domain begins with letters."""
+    return f"({value} RLIKE {raw('@.*[.][A-Za-z]{2}')})"
+
+
 def _phone_digits(value: str) -> str:
     return f"(length(regexp_replace({value}, '[^0-9]', '')) BETWEEN 7 AND 15)"
 
@@ -117,8 +130,10 @@ def _ip6(value: str) -> str:
     some = f"(?:{group}(?::{group})*)?"
     full = f"(?:{group}:){{7}}{group}"
     groups = f"size(regexp_extract_all({value}, '[0-9A-Fa-f]+', 0))"
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    mapped = rf"^(?:{group}(?::{group})*)?::(?:{group}:)*{octet}(?:\.{octet}){{3}}$"
     return (
-        f"(length({value}) <= 39 AND ({value} RLIKE {raw(f'^{full}$')} OR "
+        f"(length({value}) <= 45 AND ({value} RLIKE {raw(mapped)} OR {value} RLIKE {raw(f'^{full}$')} OR "
         f"({value} RLIKE {raw(f'^{some}::{some}$')} AND {groups} BETWEEN 1 AND 7)))"
     )
 
@@ -215,7 +230,7 @@ FAMILIES = (
             Rule("CREDIT_CARD", "[0-9]{4}-[0-9]{4,6}-[0-9]", _whole("[0-9]{4}(?:-[0-9]{1,6}){2,4}", _luhn)),
             Rule("US_ITIN", "9[0-9]{2}-[0-9]{2}-[0-9]{4}", _whole("9[0-9]{2}-[0-9]{2}-[0-9]{4}")),
             Rule("US_SSN", "[0-9]{3}-[0-9]{2}-[0-9]{4}", _whole("[0-9]{3}-[0-9]{2}-[0-9]{4}", _ssn)),
-            Rule("PHONE_NUMBER", "[0-9]{3}-[0-9]{3}-[0-9]{4}", _whole("[0-9]{3}-[0-9]{3}-[0-9]{4}")),
+            Rule("PHONE_NUMBER", "[0-9]{3}-[0-9]{3}-[0-9]{4}", _whole("(?:1-)?[0-9]{3}-[0-9]{3}-[0-9]{4}")),
         ),
         gate="[0-9]-[0-9]",
         shortest=11,
@@ -245,9 +260,9 @@ FAMILIES = (
         ),
         shortest=16,
     ),
-    Family(EMAIL, (Rule("EMAIL_ADDRESS", "@"),)),
+    Family(EMAIL, (Rule("EMAIL_ADDRESS", "@", _named_domain),)),
     Family(URL, (Rule("URL", r"(?=[:Ww])(?:://|(?i:www)\.)"),)),
-    Family(PHONE, (Rule("PHONE_NUMBER", r"[+(][0-9]{1,3}[ .()0-9-]", _phone_digits),)),
+    Family(PHONE, (Rule("PHONE_NUMBER", r"[+(][0-9]{1,3}[ .()0-9-]|[0-9]{3} [0-9]{3} [0-9]{4}", _phone_digits),)),
     Family(DATE_TIME, (Rule("DATE_TIME", "[0-9]|(?=[YTLNytln])" + RELATIVE_DAY),)),
     Family(
         DRIVER_LICENSE,
@@ -318,6 +333,28 @@ def family_values(family: Family, text: str) -> str:
     return family.guarded(text, pairs)
 
 
+# Hits that are appended to one array; arrays are copied to append, so long ones are made of blocks.
+BLOCK = 256
+
+
+def _in_blocks(rows: str, start: str, step: str, acc: str, x: str) -> str:
+    """Fold the gaps and matches of a text into spans, block by block, each from its own first position."""
+    b, t, o, y = (name(c) for c in "btoy")
+    blocks = f"sequence(0, greatest(0, size({rows}) - 1) div {BLOCK})"
+
+    def part(block: str) -> str:
+        return f"slice({rows}, cast({block} * {BLOCK} + 1 AS int), {BLOCK})"
+
+    length = f"aggregate({part(b)}, 0, ({t}, {y}) -> {t} + length({y}.gap) + length({y}.full))"
+    offsets = f"aggregate({blocks}, array(0), ({o}, {b}) -> concat({o}, array(element_at({o}, -1) + {length})))"
+
+    def spans(offset: str) -> str:
+        first = start.replace("{pos}", f"{offset}[cast({b} AS int)]")
+        return f"flatten(transform({blocks}, {b} -> aggregate({part(b)}, {first}, ({acc}, {x}) -> {step}).out))"
+
+    return let(offsets, spans, "f")
+
+
 def family_spans(family: Family, text: str) -> str:
     """SQL ``ARRAY<STRUCT<start, end, rank, value>>`` of the accepted candidates in a text.
 
@@ -334,7 +371,7 @@ def family_spans(family: Family, text: str) -> str:
         "k",
     )
     start = (
-        "named_struct('pos', 0, 'out', cast(array() AS "
+        "named_struct('pos', {pos}, 'out', cast(array() AS "
         "array<struct<start:int,end:int,ranks:array<int>,value:string>>))"
     )
     step = (
@@ -349,7 +386,7 @@ def family_spans(family: Family, text: str) -> str:
     rows = (
         f"zip_with({row}, {gaps}, ({m}, {g}) -> struct({g} AS gap, {m}.full AS full, {m}.value AS value))"
     )
-    found = f"aggregate({rows}, {start}, ({acc}, {x}) -> {step}).out"
+    found = let(rows, lambda all_rows: _in_blocks(all_rows, start, step, acc, x), "q")
     flat = (
         f"flatten(transform({found}, {s} -> transform({s}.ranks, {r} -> "
         f"struct({s}.start AS start, {s}.end AS end, {r} AS rank, {s}.value AS value))))"

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from sparkscrub.functions.mask import replace_sql
 from sparkscrub.functions.sqltext import let, literal, name, raw
 
-# The token patterns, and the attributes that are masked.
+# The token patterns, and the attributes that are masked. A tag starts with
+# a letter or one of / ! ? after the bracket; in quotes a bracket does not end it.
+TAG = r"<[A-Za-z/!?](?:[^>\x22\x27]|\x22[^\x22]*\x22|\x27[^\x27]*\x27)*+>|<[A-Za-z/!?][^>]*>"
 HTML_TOKEN = (
-    r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|[^<]+|<"
+    r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|" + TAG + r"|(?:[^<]|<(?![A-Za-z/!?]))++|<"
 )
 MASKED_ATTRIBUTES = ("href", "src", "content", "value")
 ATTRIBUTE_START = r"(?i)^\s(?:" + "|".join(MASKED_ATTRIBUTES) + r")\s*=\s*[\x22\x27]?"
@@ -82,7 +84,7 @@ def _is_comment(token: str) -> str:
 
 
 def _is_markup(token: str) -> str:
-    return f"({token} LIKE '<%' AND length({token}) > 1)"
+    return f"({token} RLIKE {raw('(?s)^<[A-Za-z/!?].*>$')})"
 
 
 def _masked_value(value: str, keys: str, quoted: bool) -> str:
@@ -126,7 +128,7 @@ def mask_html_sql(html: str, keys: str) -> str:
     opening tag are masked. A comment is masked inside and stays a comment.
     """
     t = name("t")
-    head = f"regexp_extract({t}, '^<[^>]*>', 0)"
+    head = f"regexp_extract({t}, {raw('^(?:' + TAG + ')')}, 0)"
     comment = f"concat('<!--', {replace_sql(f'substring({t}, 5, length({t}) - 7)', keys)}, '-->')"
     tag = let(head, lambda h: f"concat({_mask_tag(h, keys)}, substring({t}, length({h}) + 1))", "h")
     token = (
@@ -145,7 +147,7 @@ def html_text_sql(html: str) -> str:
     """
     t, p, x = name("t"), name("p"), name("x")
     _, value, _ = _attribute_parts(p)
-    head = f"regexp_extract({t}, '^<[^>]*>', 0)"
+    head = f"regexp_extract({t}, {raw('^(?:' + TAG + ')')}, 0)"
     pieces = f"regexp_extract_all({head}, {raw(TAG_PIECE)}, 0)"
     values = (
         f"CASE WHEN contains({t}, '=') THEN transform(filter({pieces}, {p} -> {p} RLIKE {raw(ATTRIBUTE_START)}), "
