@@ -21,7 +21,7 @@ from sparkscrub.operators import scrub as scrubbing
 from sparkscrub.operators.detect import detect, explode_spans, select_spans
 from sparkscrub.operators.gazetteer import gazetteer_spans
 from sparkscrub.operators.matching import find_values
-from sparkscrub.operators.scopes import scope_keys
+from sparkscrub.operators.scopes import scope_keys, scrub_with_keys
 from sparkscrub.plans import providers
 from sparkscrub.plans.expand import expand
 from sparkscrub.plans.handlers import Handler
@@ -51,19 +51,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession) -> int | None:
+    """The given tables are small files: on one machine they are spread over its cores."""
+    context = spark.sparkContext
+    return context.defaultParallelism if context.master.startswith("local[") else None
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_texts(spark, f"{sf_dir}/documents.parquet", ["doc_id", "source", "text"], ["doc_id"])
+    return read_texts(spark, f"{sf_dir}/documents.parquet", ["doc_id", "source", "text"], partitions=_spread(spark))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_texts(spark, f"{sf_dir}/pages.parquet", ["page_id", "html"], ["page_id"])
+    return read_texts(spark, f"{sf_dir}/pages.parquet", ["page_id", "html"], partitions=_spread(spark))
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One note per order, with values of all entity types."""
     names = ("customer", "nation", "region")
     orders = read_texts(
-        spark, f"{sf_dir}/orders.parquet", ["o_orderkey", "o_custkey", "o_orderdate"], ["o_orderkey"]
+        spark, f"{sf_dir}/orders.parquet", ["o_orderkey", "o_custkey", "o_orderdate"], partitions=_spread(spark)
     )
     files = {n: f"parquet.`{sf_dir}/{n}.parquet`" for n in names}
     return spark.sql(o.NOTES.format(orders="{orders}", **files), orders=orders)
@@ -448,6 +454,14 @@ def _scope_customer(spark, sf_dir):
     return masked.select("note_id", "masked")
 
 
+@query("scrub_with_customer_keys", o.scoped(_CUSTOMERS, o.PATTERN_TYPES, "note_id"))
+def _with_keys(spark, sf_dir):
+    """The same in two steps: one stored table of keys, applied to the notes."""
+    rows = notes(spark, sf_dir)
+    keys = materialize(scope_keys(rows, ["cust_id"]), "scope-keys")
+    return scrub_with_keys(rows, keys, ["cust_id"], ["note_id"]).select("note_id", "masked")
+
+
 @query("scrub_scope_region", o.scoped(_REGIONS, o.PATTERN_TYPES, "note_id"))
 def _scope_region(spark, sf_dir):
     """Five scopes with thousands of values each: looked up, not folded."""
@@ -461,6 +475,15 @@ def _scope_conversation(spark, sf_dir):
     return masked.select(F.expr("conv_id * 1000 + turn").alias("id"), "masked")
 
 
+@query(
+    "provider_of_patterns",
+    o.scrubbed(o.NOTE_TEXTS, o.PATTERN_TYPES, "note_id"),
+)
+def _pattern_provider(spark, sf_dir):
+    provider = providers.pattern_provider(o.PATTERN_TYPES)
+    return providers.scrub_with_provider(notes(spark, sf_dir), provider).select("note_id", "masked")
+
+
 @query(
     "scrub_notes_with_terms",
     o.scoped(

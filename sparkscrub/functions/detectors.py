@@ -292,7 +292,9 @@ def _term_pattern(terms: list[str]) -> str:
             return branches[0]
         return "(?:" + "|".join(branches) + ")" + ("?" if "" in node else "")
 
-    return r"(?<![\p{L}0-9])" + write(tree) + r"(?![\p{L}0-9])"
+    # An edge holds where a letter or digit does not touch another one, as in the table of terms.
+    word = r"[\p{L}0-9]"
+    return rf"(?:(?<!{word})|(?!{word}))" + write(tree) + rf"(?:(?!{word})|(?<!{word}))"
 
 
 # Above this many terms a pattern in the plan is the wrong tool; join with a

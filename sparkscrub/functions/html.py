@@ -18,7 +18,7 @@ from sparkscrub.functions.sqltext import let, literal, name, raw
 # a letter or one of / ! ? after the bracket; in quotes a bracket does not end it.
 TAG = r"<[A-Za-z/!?](?:[^>\x22\x27]|\x22[^\x22]*\x22|\x27[^\x27]*\x27)*+>|<[A-Za-z/!?][^>]*>"
 HTML_TOKEN = (
-    r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|" + TAG + r"|(?:[^<]|<(?![A-Za-z/!?]))++|<"
+    r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|" + TAG + r"|[^<]+|<"
 )
 MASKED_ATTRIBUTES = ("href", "src", "content", "value")
 ATTRIBUTE_START = r"(?i)^\s(?:" + "|".join(MASKED_ATTRIBUTES) + r")\s*=\s*[\x22\x27]?"

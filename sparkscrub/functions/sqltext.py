@@ -33,6 +33,11 @@ def raw(pattern: str) -> str:
     return f"r'{pattern}'"
 
 
+def column(df, text: str) -> str:
+    """A column's name as SQL, quoted; anything that is no column of ``df`` is SQL already."""
+    return "`" + text.replace("`", "``") + "`" if text in df.columns else text
+
+
 def literal(value: str) -> str:
     """Any text as a SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkscrub.functions.spans import SPANS_TYPE, spans_sql
-from sparkscrub.functions.sqltext import let
+from sparkscrub.functions.sqltext import column, let
 from sparkscrub.plans.expand import expand
 from sparkscrub.plans.handlers import analysed_sql
 
@@ -22,6 +22,7 @@ def detect(
     output: str = "spans",
 ) -> DataFrame:
     """Add ``output``: all spans of the chosen types (start, end, entity_type, value)."""
+    text, kind = column(df, text), kind and column(df, kind)
     return df.withColumn(output, F.expr(spans_sql(let(text, lambda t: analysed_sql(t, kind), "t"), entities, terms)))
 
 

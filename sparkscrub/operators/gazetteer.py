@@ -103,11 +103,23 @@ def gazetteer_values(
     key: list[str] | None = None,
     max_broadcast_rows: int | None = None,
 ) -> DataFrame:
-    """Rows ``key, value, rank``: the distinct terms found in each text."""
+    """Rows ``key, value, rank``: the distinct terms found in each text.
+
+    The same as with a dict of terms: for each type, matches from left to right without
+    overlap, at one place the longest term.
+    """
     key = key or ["part_id"]
     found = _matches(df, terms, text, key, max_broadcast_rows)
     rank = F.expr("CASE entity_type " + " ".join(f"WHEN '{t}' THEN {RANK[t]}" for t in DICTIONARY_TYPES) + " END")
-    return found.where("size(positions) > 0").select(*key, F.col("term").alias("value"), rank.alias("rank"))
+    rows = expand(found, [*key, "term", "entity_type"], F.explode_outer("positions").alias("start"), "start")
+    hit = F.struct("start", (-F.length("term")).alias("n"), "term")
+    per_type = rows.groupBy(*key, "entity_type").agg(F.sort_array(F.collect_set(hit)).alias("hits"))
+    step = (
+        "IF(h.start < a.last, a, named_struct('last', h.start - h.n, "
+        "'kept', IF(array_contains(a.kept, h.term), a.kept, array_append(a.kept, h.term))))"
+    )
+    kept = f"aggregate(hits, named_struct('last', 0, 'kept', cast(array() AS array<string>)), (a, h) -> {step}).kept"
+    return per_type.select(*key, F.explode(F.expr(kept)).alias("value"), rank.alias("rank"))
 
 
 def gazetteer_spans(

@@ -14,10 +14,11 @@ from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkscrub.catalog import DICTIONARY_TYPES, RANKED_TYPES, placeholder, select_entities
 from sparkscrub.functions.spans import NO_KEYS, order_keys_sql, placeholder_sql, ranked_values_sql
-from sparkscrub.functions.sqltext import let, literal
+from sparkscrub.functions.sqltext import column, let, literal
 from sparkscrub.operators.gazetteer import gazetteer_values
 from sparkscrub.operators.matching import find_values
 from sparkscrub.plans.expand import expand
@@ -30,9 +31,20 @@ MAX_FOLDED_KEYS = 200
 _KEYS = "collect_list(struct(value, placeholder))"
 
 
-def _scope_sql(scope: list[str]) -> str:
-    """One text per scope; a missing scope is a scope of its own, so its rows are masked too."""
-    return f"to_json(struct({', '.join(scope)}), map('ignoreNullFields', 'false'))"
+def _scope_sql(df: DataFrame, scope: list[str]) -> str:
+    """One text per scope, different for different values; a missing scope is a scope of its
+    own, so its rows are masked too."""
+    parts = []
+    for c in scope:
+        kind, quoted = df.schema[c].dataType, column(df, c)
+        if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+            text = f"to_json({quoted}, map('ignoreNullFields', 'false', 'timestampFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSS'))"
+        elif isinstance(kind, T.BinaryType):
+            text = f"hex({quoted})"
+        else:
+            text = f"cast({quoted} AS string)"
+        parts.append(f"coalesce(concat(length({text}), ':', {text}), '-')")
+    return f"concat({', '.join(parts)})"
 
 
 def scope_keys(
@@ -47,10 +59,13 @@ def scope_keys(
 ) -> DataFrame:
     """Rows ``scope..., value, placeholder``: the replacement map of each scope.
 
-    Of several types for a value the first rank wins. Counted and reduced before the
+    Nothing runs before the result is used, unless ``terms`` is a table: its lookup counts
+    and stores the terms first. One stored result can serve several tables
+    (``scrub_with_keys``). Of several types for a value the first rank wins. Counted and reduced before the
     shuffle, so a scope that holds a third of the data is no hot spot.
     """
     chosen = select_entities(entities)
+    text, kind = column(df, text), kind and column(df, kind)
     analysed = let(text, lambda t: analysed_sql(t, kind, handlers), "t")
     inline = terms if isinstance(terms, dict) else None
     hits = expand(df, scope, F.expr(f"inline_outer({ranked_values_sql(analysed, chosen, inline)})"), "value")
@@ -76,15 +91,16 @@ def scrub_with_keys(
 ) -> DataFrame:
     """Mask each row of ``df`` with the replacement map of its scope.
 
+    Runs several jobs when called: it counts keys and rows and stores what they need.
     ``keys`` has distinct ``scope..., value, placeholder`` and is read several times;
     pass a stored table. ``key`` identifies a row within its scope. In scopes with
     more than ``max_folded_keys`` values a value is applied where the text holds it,
     or where it can meet a placed placeholder; the result is the same.
     """
     out = [*df.columns, output]
-    scope_id = F.expr(_scope_sql(scope)).alias("_scope")
-    parts = df.select("*", scope_id)
-    keys = keys.select(scope_id, "value", "placeholder")
+    text, kind = column(df, text), kind and column(df, kind)
+    parts = df.select("*", F.expr(_scope_sql(df, scope)).alias("_scope"))
+    keys = keys.select(F.expr(_scope_sql(keys, scope)).alias("_scope"), "value", "placeholder")
     sizes = keys.groupBy("_scope").agg(F.count("*").alias("_n"))
     most = sizes.agg(F.max("_n")).first()[0] or 0
     has_large = most > max_folded_keys
@@ -126,7 +142,7 @@ def _mask_with_maps(parts, keys, hot_parts, key, text, kind, handlers, output) -
 def _mask_by_lookup(parts, keys, hot_parts, key, text, kind, handlers, output) -> DataFrame:
     """Give each part the keys that occur in it."""
     keys = materialize(keys, "large-scope-keys")
-    parts = parts.withColumn("_part", F.expr(_scope_sql(key)))
+    parts = parts.withColumn("_part", F.expr(_scope_sql(parts, key)))
     key = ["_part"]
     analysed = parts.select("_scope", *key, F.expr(analysed_sql(text, kind, handlers)).alias("_analysed"))
     found = find_values(analysed, keys, ["_scope"], key, "_analysed")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkscrub.catalog import DICTIONARY_TYPES
 from sparkscrub.functions.html import mask_html_sql
 from sparkscrub.functions.mask import mask_spans_sql, replace_sql
 from sparkscrub.functions.spans import keys_sql, resolve_overlaps_sql, spans_sql
-from sparkscrub.functions.sqltext import let
+from sparkscrub.functions.sqltext import column, let
 from sparkscrub.operators.scopes import (
     MAX_FOLDED_KEYS,
     scope_keys,
@@ -21,6 +23,17 @@ from sparkscrub.plans.handlers import Handler, analysed_sql, masked_sql
 from sparkscrub.plans.sizing import materialize
 
 
+def require_terms(entities: Iterable[str] | None, terms: dict | DataFrame | None) -> None:
+    """Types that are found by terms only find nothing without terms: an error if they are named."""
+    if terms is not None:
+        return
+    named = [t for t in entities or () if t in DICTIONARY_TYPES]
+    if named:
+        raise ValueError(f"{', '.join(named)}: found by terms only; pass terms= or leave them out")
+    if entities is None:
+        warnings.warn(f"without terms= no {', '.join(DICTIONARY_TYPES)} is looked for", stacklevel=3)
+
+
 def scrub(
     df: DataFrame,
     text: str = "text",
@@ -40,8 +53,11 @@ def scrub(
     them; ``key`` then names the columns that identify a row. ``terms`` are names,
     places and groups to look for: a dict of short lists, or a table ``term,
     entity_type`` of any size. ``kind`` names a column that says ``html`` for pages;
-    ``handlers`` adds other kinds.
+    ``handlers`` adds other kinds. With ``scope`` or a table of terms several jobs run
+    when this is called (see ``plans.sizing.scratch`` for what they store).
     """
+    require_terms(entities, terms)
+    text, kind = column(df, text), kind and column(df, kind)
     if scope is None and not isinstance(terms, DataFrame):
         row = let(
             text,
@@ -71,6 +87,8 @@ def scrub_by_position(
 ) -> DataFrame:
     """Mask by position after overlap resolution: placed placeholders are never touched again,
     and a value is masked only where it was detected."""
+    require_terms(entities, terms)
+    text = column(df, text)
     row = let(
         text,
         lambda t: mask_spans_sql(t, resolve_overlaps_sql(spans_sql(t, entities, terms), threshold)),
@@ -92,6 +110,8 @@ def mask_fragments(
     A value that runs over two fragments is not masked. For fragments that are rows
     already, use ``scrub`` with the document as scope.
     """
+    require_terms(entities, terms)
+    name, text = text, column(df, text)
     pieces = f"split({{t}}, {_pattern_of(separator)}, -1)"
 
     def body(t: str) -> str:
@@ -102,7 +122,7 @@ def mask_fragments(
             "k",
         )
 
-    rest = [c for c in df.columns if c != text]
+    rest = [c for c in df.columns if c != name]
     pieces_of = F.posexplode_outer(F.expr(let(text, body, "t"))).alias("fragment_no", "_fragment")
     found = expand(df, rest, pieces_of, "fragment_no")
     return found.select(*rest, "fragment_no", "_fragment.*")
@@ -121,6 +141,8 @@ def scrub_html(
     output: str = "masked",
 ) -> DataFrame:
     """Mask a table of pages, each on its own."""
+    require_terms(entities, terms)
+    html = column(df, html)
     page = let(
         html,
         lambda h: let(

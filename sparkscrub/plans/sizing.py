@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,10 +45,40 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/sparkscrub/{label}-{uuid.uuid4().hex}"
+    _stored.append((spark.sparkContext.applicationId, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Tables that this program has stored: application, path.
+_stored: list[tuple[str, str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving the tables that were stored within.
+
+    Stored tables hold values found in texts. Results that read them must be written or
+    collected before the block ends::
+
+        with scratch(spark):
+            scrub(docs, scope=["source"], key=["doc_id"]).write.parquet(out)
+    """
+    before = len(_stored)
+    try:
+        yield
+    finally:
+        application = spark.sparkContext.applicationId
+        made, rest = _stored[before:], []
+        for owner, path in made:
+            if owner == application:
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            else:
+                rest.append((owner, path))
+        _stored[before:] = rest
+
+
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     """Does a table stay below the broadcast bounds? Counts rows and bytes of text."""
     max_rows = MAX_BROADCAST_ROWS if max_rows is None else max_rows

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_texts(spark: SparkSession, path: str, columns: list[str], key: list[str], fmt: str = "parquet") -> DataFrame:
-    """Read a text table, spread over all cores if its files are too few.
+def read_texts(
+    spark: SparkSession, path: str, columns: list[str], fmt: str = "parquet", partitions: int | None = None
+) -> DataFrame:
+    """Read the columns of a text table; rows are not moved.
 
-    Detection is bound by the processor. A table in one small file would be read, and
-    so detected on, by one task; it is hashed on its key first. A table with as many
-    splits as the cluster has cores is never moved.
+    Detection is bound by the processor, and a table in one small file is read by one
+    task. ``partitions`` spreads such a table by a hash of its rows; leave it out for
+    large tables, for which ``spark.sql.files.maxPartitionBytes`` sets the splits.
     """
     df = spark.read.format(fmt).load(path).select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(partitions, *columns[:1]) if partitions else df
 
 
 def text_parts(
@@ -42,6 +43,16 @@ def text_parts(
     )
 
 
+def without_originals(df: DataFrame, keep: list[str] | None, drop: list[str] | None) -> DataFrame:
+    """The columns to write; it takes a list of columns to keep or to drop."""
+    if (keep is None) == (drop is None):
+        raise ValueError("name the columns to keep=[...], or those with originals to drop=[...]")
+    missing = set(keep or drop or ()) - set(df.columns)
+    if missing:
+        raise ValueError(f"no such columns: {sorted(missing)}")
+    return df.select(*keep) if keep is not None else df.drop(*drop)
+
+
 def write_masked(
     df: DataFrame,
     path: str,
@@ -49,12 +60,14 @@ def write_masked(
     drop: list[str] | None = None,
     partition_by: list[str] | None = None,
     mode: str = "errorifexists",
+    keep: list[str] | None = None,
 ) -> None:
-    """Write a masked table; ``drop`` names the columns that still hold the originals."""
-    missing = set(drop or ()) - set(df.columns)
-    if missing:
-        raise ValueError(f"no such columns to drop: {sorted(missing)}")
-    writer = df.drop(*(drop or [])).write.format(fmt).mode(mode)
+    """Write a masked table: the columns in ``keep``, or all but those in ``drop``.
+
+    One of the two must be given, so that columns with originals are not written by
+    mistake.
+    """
+    writer = without_originals(df, keep, drop).write.format(fmt).mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from sparkscrub.operators.scrub import scrub
+from sparkscrub.sources.tables import without_originals
 
 
 def read_text_stream(
@@ -47,9 +48,10 @@ def write_masked_stream(
     drop: list[str] | None = None,
     available_now: bool = False,
     interval: str = "1 minute",
+    keep: list[str] | None = None,
 ) -> StreamingQuery:
-    """Start writing a masked stream; ``drop`` names the columns that hold originals."""
-    writer = masked.drop(*(drop or [])).writeStream.format(fmt).outputMode("append")
+    """Start writing a masked stream: the columns in ``keep``, or all but those in ``drop``."""
+    writer = without_originals(masked, keep, drop).writeStream.format(fmt).outputMode("append")
     writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.start(path)

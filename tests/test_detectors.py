@@ -1,9 +1,12 @@
+import time
+
 import pytest
 
 from sparkscrub.catalog import DEFAULT_TYPES, ENTITIES, RANK, select_entities
 from sparkscrub.functions import spans
 from sparkscrub.functions.detectors import FAMILIES, term_families
 from sparkscrub.operators.detect import detect, explode_spans
+from sparkscrub.operators.scrub import scrub
 
 CASES = [
     # type, text, expected values
@@ -107,3 +110,52 @@ def test_inline_terms(spark):
         term_families({"URL": ["x"]})
     with pytest.raises(ValueError):
         term_families({"PERSON": [f"n{i}" for i in range(6000)]})
+
+
+WHOLE_OR_NOT = [
+    ("a" * 70 + "@b.com x", "<EMAIL_ADDRESS> x"),
+    ("x@" + "ab." * 30 + "com y", "<EMAIL_ADDRESS> y"),
+    ("a@b.co.", "<EMAIL_ADDRESS>."),
+    ("+49 30 12 34 56 78 90", "<PHONE_NUMBER>"),
+    ("+33 1 23 45 67 89", "<PHONE_NUMBER>"),
+    ("1-800-555-1234 or 345 555 0001 now", "<PHONE_NUMBER> or <PHONE_NUMBER> now"),
+    ("(345) 555-00012345", "(345) 555-00012345"),
+    ("1 345 555 0001 2345", "1 345 555 0001 2345"),
+    ("::ffff:10.0.0.1 z", "<IP_ADDRESS> z"),
+    ("2001:db8::1: refused", "<IP_ADDRESS>: refused"),
+    ("at 2001:db8:: x 10:30:00", "at <IP_ADDRESS> x 10:30:00"),
+    ("driver license ABC12345678901234.", "driver license <US_DRIVER_LICENSE>."),
+    ("driver license ABC1234567890123456.", "driver license ABC1234567890123456."),
+]
+
+
+def test_values_are_masked_whole_or_not_at_all(spark):
+    types = ["EMAIL_ADDRESS", "PHONE_NUMBER", "IP_ADDRESS", "US_DRIVER_LICENSE"]
+    df = spark.createDataFrame(WHOLE_OR_NOT, "text string, e string")
+    for r in scrub(df, entities=types).collect():
+        assert r["masked"] == r["e"], r["text"]
+
+
+def test_long_runs_and_many_hits_take_linear_time(spark):
+    texts = [
+        "ACGT" * 250_000 + " 12345678",
+        "a" * 1_000_000 + "-1 123-45-6789",
+        " ".join(f"u{i}@x.com" for i in range(50_000)),
+        "1:" * 200_000,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(1)
+    begin = time.perf_counter()
+    rows = {r["id"]: r["spans"] for r in detect(df).where("id < 4").collect()}
+    assert time.perf_counter() - begin < 60
+    assert [len(rows[i]) for i in range(4)] == [1, 1, 50_000, 0]
+    last = rows[2][-1]
+    assert texts[2][last["start"] : last["end"]] == last["value"] == "u49999@x.com"
+
+
+def test_named_types_need_terms(spark):
+    df = spark.createDataFrame([("Ann Lee",)], "`my text` string")
+    with pytest.raises(ValueError):
+        scrub(df, "my text", entities=["PERSON"])
+    with pytest.warns(UserWarning):
+        scrub(df, "my text")
+    assert scrub(df, "my text", terms={"PERSON": ["Ann"]}).first()["masked"] == "<PERSON> Lee"

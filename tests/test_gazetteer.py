@@ -4,6 +4,7 @@ import re
 import pytest
 
 from sparkscrub.catalog import RANK
+from sparkscrub.operators.detect import detect, explode_spans
 from sparkscrub.operators.gazetteer import gazetteer_spans, gazetteer_values
 from sparkscrub.operators.scrub import scrub
 from tests import models
@@ -37,8 +38,11 @@ def test_against_brute_force(spark, request, large):
     for i, text in texts:
         got = sorted((r["start"], r["end"], r["entity_type"], r["value"]) for r in spans if r["id"] == i)
         assert got == brute(text, terms), text
+    # As values, the table finds what the same terms find as a dict.
+    listed = {e: [t for t, own in terms if own == e] for _, e in terms}
+    found = explode_spans(detect(df, entities=list(listed), terms=listed)).select("id", "value").distinct()
     values = {(r["id"], r["value"]) for r in gazetteer_values(df, table, key=["id"]).collect()}
-    assert values >= {(r["id"], r["value"]) for r in spans}
+    assert values == {(r["id"], r["value"]) for r in found.collect()}
 
 
 def test_bad_terms(spark):
@@ -58,3 +62,14 @@ def test_scrub_with_a_table_of_terms(spark):
     assert got == ["<PERSON> wrote to <EMAIL_ADDRESS>", "Annual Ann <LOCATION>", "<PERSON>"]
     only = [r["masked"] for r in scrub(df, key=["id"], terms=terms, entities=["PERSON"]).orderBy("id").collect()]
     assert only == ["<PERSON> wrote to a@b.org", "Annual Ann Leeds", "<PERSON>"]
+
+
+def test_dict_and_table_of_terms_agree(spark):
+    df = spark.createDataFrame([(1, "New York City and Yorkshire, York .NET ASP.NET")], "id int, text string")
+    terms = [("New York City", "LOCATION"), ("York", "LOCATION"), (".NET", "NRP")]
+    table = spark.createDataFrame(terms, "term string, entity_type string")
+    listed = {"LOCATION": ["New York City", "York"], "NRP": [".NET"]}
+    one = scrub(df, key=["id"], terms=table, entities=["LOCATION", "NRP"]).first()["masked"]
+    assert one == scrub(df, terms=listed, entities=["LOCATION", "NRP"]).first()["masked"]
+    plain = spark.createDataFrame([(1, "New York City and Yorkshire")], "id int, text string")
+    assert scrub(plain, key=["id"], terms=table, entities=["LOCATION"]).first()["masked"] == "<LOCATION> and Yorkshire"

@@ -47,3 +47,15 @@ def test_pages_are_scrubbed_where_they_show_values(spark):
 def test_text_of_a_page(spark):
     df = spark.createDataFrame([("<p>a &amp; b</p><style>x</style><a href='/u'> </a><!--c-->",)], "h string")
     assert df.select(html.html_text("h")).first()[0] == "a & b\n/u\nc"
+
+
+def test_brackets_in_text_and_quotes(spark):
+    cases = [
+        ("<p>if a < b mail bob@x.com and c > d</p>", "<p>if a < b mail &lt;EMAIL_ADDRESS&gt; and c &gt; d</p>"),
+        ('<a title="x > y" href="mailto:bob@x.com">hi</a>', '<a title="x > y" href="mailto:&lt;EMAIL_ADDRESS&gt;">hi</a>'),
+        ("<p>bob@x.com <b", "<p>&lt;EMAIL_ADDRESS&gt; <b"),
+        ("<a title='x>bob@x.com", "<a title='x>&lt;EMAIL_ADDRESS&gt;"),
+    ]
+    df = spark.createDataFrame(cases, "html string, e string")
+    for r in scrub_html(df, entities=["EMAIL_ADDRESS"]).collect():
+        assert r["masked"] == r["e"], r["html"]

@@ -93,6 +93,64 @@ def test_provider_in_a_scope(spark):
         scrub_with_provider(df, provider, scope=["s"])
 
 
+def test_model_serves_the_tasks_of_a_worker(spark, tmp_path):
+    """Several partitions, fewer workers: no more loads than workers."""
+    log = str(tmp_path)
+
+    def load():
+        import os
+        import tempfile
+
+        tempfile.mkstemp(dir=log, prefix=f"{os.getpid()}-")
+        return lambda text: {text: "<X>"}
+
+    df = spark.range(400).selectExpr("id", "concat('v', id) AS text").repartition(40)
+    assert scrub_with_provider(df, model_provider(load)).where("masked = '<X>'").count() == 400
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads)) < 40
+
+
+def test_replacements_of_a_provider_are_left_alone(spark):
+    """The same result whether a scope is folded or looked up."""
+    pairs = {"alpha": "name-of-ann", "ann": "X", "beta": "<XW>", "XW": "<Q>", "12345": "<US_SSN>", "SSN": "2"}
+    made = F.create_map(*(F.lit(x) for p in pairs.items() for x in p))
+    df = spark.createDataFrame([(1, "s", "alpha ann beta XW 12345 SSN \u20ac")], "id int, s string, text string")
+    expected = "name-of-ann X <XW> <Q> <US_2> 2 \u20ac"
+    assert scrub_with_provider(df, lambda text: made).first()["masked"] == expected
+    for folded in (0, 200):
+        got = scrub_with_provider(df, lambda text: made, scope=["s"], key=["id"], max_folded_keys=folded)
+        assert got.first()["masked"] == expected
+
+
+def test_stored_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from sparkscrub.plans.sizing import _stored, scratch
+
+    df = spark.createDataFrame([(1, "s", "a@b.org")], "id int, s string, text string")
+    before = len(_stored)
+    with scratch(spark):
+        assert scrub(df, scope=["s"], key=["id"], entities=["EMAIL_ADDRESS"]).first()["masked"] == "<EMAIL_ADDRESS>"
+        made = [p for _, p in _stored[before:]]
+        assert made
+    assert len(_stored) == before
+    assert not any(Path(p.removeprefix("file:")).exists() for p in made)
+
+
+def test_sink_asks_for_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "b")], "id int, text string, masked string")
+    with pytest.raises(ValueError):
+        write_masked(df, str(tmp_path / "a"))
+    write_masked(df, str(tmp_path / "b"), keep=["id", "masked"])
+    assert spark.read.parquet(str(tmp_path / "b")).columns == ["id", "masked"]
+
+
+def test_built_in_provider_as_provider(spark):
+    df = spark.createDataFrame([("a@b.org",)], "`my text` string")
+    got = scrub_with_provider(df, pattern_provider(["EMAIL_ADDRESS"]), "my text").first()
+    assert got["masked"] == "<EMAIL_ADDRESS>"
+
+
 def test_built_in_provider(spark):
     df = spark.createDataFrame([("a@b.org",)], "text string")
     assert df.select(pattern_provider(["EMAIL_ADDRESS"])("text")).first()[0] == {"a@b.org": "<EMAIL_ADDRESS>"}

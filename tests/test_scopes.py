@@ -130,3 +130,14 @@ def test_few_hot_keys_reach_the_driver(spark):
     df = spark.range(2000).selectExpr("id % 700 AS k")
     assert sizing.hot_keys(df, ["k"], min_rows=0, share=0.01) is None
     assert sizing.hot_keys(df.selectExpr("k % 50 AS k"), ["k"], min_rows=0, share=0.01).count() <= 100
+
+
+def test_scopes_differ_by_microseconds_and_separators(spark):
+    rows = [("2024-01-01 00:00:00.123001", "a|", "b", "a@b.org"), ("2024-01-01 00:00:00.123999", "a", "|b", "x a@b.orgs")]
+    df = spark.createDataFrame(rows, "ts string, `p q` string, r string, text string").selectExpr(
+        "cast(ts AS timestamp) AS ts", "`p q`", "r", "text", "monotonically_increasing_id() AS id"
+    )
+    for scope in (["ts"], ["p q", "r"]):
+        keys = scope_keys(df.limit(1), scope, entities=["EMAIL_ADDRESS"])
+        got = scrub_with_keys(df, keys, scope, ["id"]).orderBy("id").collect()
+        assert [r["masked"] for r in got] == ["<EMAIL_ADDRESS>", "x a@b.orgs"]
