@@ -1,8 +1,8 @@
 """Find which of very many strings occur in which of very many texts.
 
-Literal ``contains`` as an equi-join: a string is looked up by its first
-characters, and where those occur the text is compared in full. No pair of a text
-and a string is made unless the string's first characters occur in the text.
+Literal ``contains`` as an equi-join: each string is looked up by one of its pieces, the
+one that the fewest other strings have, and compared in full where that piece stands.
+Strings that begin alike, such as links, are so told apart before they are compared.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkscrub.functions.sqltext import let
 from sparkscrub.plans.expand import expand
-from sparkscrub.plans.sizing import fits_broadcast, hot_keys, join_vocabulary, materialize, salted_join
+from sparkscrub.plans.sizing import fits_broadcast, join_vocabulary, materialize
 
-# Lengths of the first characters that are looked up: a string uses the longest
-# that it can fill.
-PREFIX_LENGTHS = (8, 4, 1)
+# Lengths of the pieces that are looked up: a string uses the longest that it can fill.
+GRAM_LENGTHS = (8, 4, 1)
+# Pieces of a string that are weighed against each other.
+WEIGHED = 64
 
 
 def quote_sql(text: str) -> str:
@@ -24,28 +24,26 @@ def quote_sql(text: str) -> str:
     return f"regexp_replace({text}, r'([^\\p{{L}}\\p{{N}}])', r'\\\\$1')"
 
 
-def _prefix_sql(value: str) -> str:
-    whens = " ".join(f"WHEN length({value}) >= {q} THEN left({value}, {q})" for q in PREFIX_LENGTHS)
-    return f"CASE {whens} END"
+def _grams_sql(text: str, length: int) -> str:
+    """SQL: all substrings of a length, by position; none begins inside a surrogate pair."""
+    return f"regexp_extract_all({text}, r'(?s)(?=((?![\\x{{DC00}}-\\x{{DFFF}}]).{{{length}}}))', 1)"
 
 
-def _grams_sql(text: str, lengths: list[int]) -> str:
-    """All distinct substrings of these lengths, in one pass per length."""
-    grams = ", ".join(f"regexp_extract_all({text}, '(?s)(?=(.{{{q}}}))', 1)" for q in lengths)
-    return f"array_distinct(concat({grams}))"
+def _placed_sql(grams: str) -> str:
+    return f"transform({grams}, (g, i) -> struct(i AS at, g AS gram))"
 
 
-def _occurrences_sql(text: str, prefix: str, lengths: str) -> str:
-    """What stands in the text where the prefix occurs, cut to each of the lengths."""
-    pattern = f"concat('(?s)(?=(', {quote_sql(prefix)}, '.{{0,', array_max({lengths}) - length({prefix}), '}}))')"
-    found = f"array_distinct(regexp_extract_all({text}, {pattern}, 1))"
-    cut = let(
-        found,
-        lambda f: f"flatten(transform({lengths}, _n -> "
-        f"transform(filter({f}, _f -> length(_f) >= _n), _f -> left(_f, _n))))",
-        "f",
-    )
-    return f"array_distinct({cut})"
+def _anchors(values: DataFrame, scope: list[str]) -> DataFrame:
+    """Rows ``scope, gram, value, offset``: the rarest piece of each value and where it stands."""
+    whens = " ".join(f"WHEN length(value) >= {q} THEN {_grams_sql('value', q)}" for q in GRAM_LENGTHS)
+    # Of long values the first and the last pieces.
+    some = f"IF(size(p) > {WEIGHED}, concat(slice(p, 1, {WEIGHED // 2}), slice(p, -{WEIGHED // 2}, {WEIGHED // 2})), p)"
+    pieces = f"transform(array({_placed_sql(f'CASE {whens} END')}), p -> {some})[0]"
+    grams = expand(values, [*scope, "value"], F.inline_outer(F.expr(pieces)), "gram").withColumnRenamed("at", "offset")
+    counts = grams.groupBy(*scope, "gram").agg(F.count("*").alias("n"))
+    best = grams.join(counts, [*scope, "gram"]).groupBy(*scope, "value")
+    best = best.agg(F.min(F.struct("n", "offset", "gram")).alias("best"))
+    return best.select(*scope, "value", "best.offset", "best.gram")
 
 
 def find_values(
@@ -58,32 +56,28 @@ def find_values(
 ) -> DataFrame:
     """Rows ``scope, key, value``: the value of the scope occurs in the text.
 
-    ``values`` has distinct ``scope..., value``. Empty values occur nowhere.
+    ``values`` has distinct ``scope..., value``. Empty values occur nowhere. Runs jobs
+    when called: the looked-up pieces are stored and counted. If they can be broadcast,
+    a text is read once and no text moves; else pieces of texts are joined with them,
+    and the texts follow for the pairs that share a piece.
     """
     values = values.select(*scope, "value").where("value <> ''")
-    lengths = F.expr("length(value)").alias("n")
-    anchors = (
-        values.select(*scope, F.expr(_prefix_sql("value")).alias("prefix"), lengths)
-        .groupBy(*scope, "prefix")
-        .agg(F.sort_array(F.collect_set("n")).alias("lengths"))
-    )
-    anchors = materialize(anchors, "anchors")
-    present = [r["q"] for r in anchors.select(F.expr("length(prefix)").alias("q")).distinct().collect()]
+    anchors = materialize(_anchors(values, scope), "anchors")
+    present = [r["q"] for r in anchors.select(F.expr("length(gram)").alias("q")).distinct().collect()]
     if not present:
         return texts.select(*scope, *key, F.lit("").alias("value")).where("false")
 
     texts = texts.select(*scope, *key, F.col(text).alias("_text"))
-    # One gram per row, without the text where the rows have to be moved.
-    in_place = fits_broadcast(anchors, max_broadcast_rows)
-    carried = ["_text"] if in_place else []
-    pieces = F.explode_outer(F.expr(_grams_sql("_text", present))).alias("prefix")
-    grams = expand(texts, [*scope, *key, *carried], pieces, "prefix")
-    near = join_vocabulary(grams, anchors, [*scope, "prefix"], key, max_broadcast_rows)
-    if not in_place:
-        near = near.join(texts, [*scope, *key])
-    found = F.explode_outer(F.expr(_occurrences_sql("_text", "prefix", "lengths"))).alias("value")
-    candidates = materialize(expand(near, [*scope, *key], found, "value"), "candidates")
-    if fits_broadcast(values, max_broadcast_rows):
-        return candidates.join(F.broadcast(values), [*scope, "value"], "left_semi")
-    on = [*scope, "value"]
-    return salted_join(candidates, values, on, hot_keys(candidates, on), key, "left_semi")
+    if fits_broadcast(anchors, max_broadcast_rows):
+        placed = ", ".join(_placed_sql(_grams_sql("_text", q)) for q in present)
+        rows = expand(texts, [*scope, *key, "_text"], F.inline_outer(F.expr(f"concat({placed})")), "gram")
+        near = rows.join(F.broadcast(anchors), [*scope, "gram"])
+        whole = "at >= offset AND substring(_text, at - offset + 1, length(value)) = value"
+        return near.where(whole).select(*scope, *key, "value").distinct()
+
+    grams = ", ".join(_grams_sql("_text", q) for q in present)
+    pieces = F.explode_outer(F.expr(f"array_distinct(concat({grams}))")).alias("gram")
+    rows = expand(texts, [*scope, *key], pieces, "gram")
+    near = join_vocabulary(rows, anchors, [*scope, "gram"], key, max_broadcast_rows)
+    pairs = near.select(*scope, *key, "value").join(texts, [*scope, *key])
+    return pairs.where("contains(_text, value)").select(*scope, *key, "value")

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from sparkscrub.operators import matching
 from sparkscrub.operators.matching import find_values
 from sparkscrub.operators.scopes import scope_keys, scrub_with_keys
 from sparkscrub.operators.scrub import scrub
@@ -141,3 +142,19 @@ def test_scopes_differ_by_microseconds_and_separators(spark):
         keys = scope_keys(df.limit(1), scope, entities=["EMAIL_ADDRESS"])
         got = scrub_with_keys(df, keys, scope, ["id"]).orderBy("id").collect()
         assert [r["masked"] for r in got] == ["<EMAIL_ADDRESS>", "x a@b.orgs"]
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_values_that_begin_alike(spark, request, large):
+    """Of n links in one text, each is compared where it stands, not all with all."""
+    if large:
+        request.getfixturevalue("tight")
+    links = ["https://example.com/" + "p" * i + f"-{i}" for i in range(200)]
+    texts = spark.createDataFrame([(1, " ".join(links)), (2, links[7] + "x"), (3, "https://example.com/")], "id int, text string")
+    values = spark.createDataFrame([(v,) for v in links], "value string")
+    got = find_values(texts, values, [], ["id"]).collect()
+    assert sorted((r["id"], r["value"]) for r in got) == sorted(
+        (i, v) for i, t in ((1, " ".join(links)), (2, links[7] + "x")) for v in links if v in t
+    )
+    anchors = matching._anchors(values, []).groupBy("gram").count().agg({"count": "max"}).first()[0]
+    assert anchors <= 2
