@@ -868,8 +868,9 @@ def _scopes(spark, sf_dir):
     ),
 )
 def _labels(spark, sf_dir):
-    rows = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
-    found = detect(rows, entities=o.FOUR).select("doc_id", "quality", "toxic", "spans")
+    # Only hits meet the labels, not the texts.
+    hits = detect(documents(spark, sf_dir), entities=o.FOUR).select("doc_id", "spans")
+    found = hits.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "quality", "toxic", "spans")
     report = reports.scope_report(found, ["quality", "toxic"])
     return report.select("quality", "toxic", F.col("parts").alias("documents"), "hits")
 

@@ -21,9 +21,6 @@ MAX_BROADCAST_BYTES = 128 * 1024 * 1024
 HOT_SHARE = 0.002
 HOT_MIN_ROWS = 100_000
 
-# Copies of the small side where hot keys cannot be counted beforehand.
-FIXED_SALTS = 16
-
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``."""
@@ -138,17 +135,23 @@ def join_vocabulary(
 ) -> DataFrame:
     """Inner join of very many rows (pieces of texts) with a table of distinct entries.
 
-    A small vocabulary is broadcast. A large one is first cut to the entries that
-    occur at all (a distinct with map-side combine, safe for frequent pieces); what
-    remains is broadcast if small, else joined with a fixed number of salts, since
-    one piece may occur in a third of all texts.
+    A small vocabulary is broadcast. A large one is first cut to the entries that occur
+    at all (counted with map-side combine, safe for frequent pieces); what remains is
+    broadcast if small, else joined, with as many salts for a frequent piece as its count
+    asks for, since one piece may occur in a third of all texts.
     """
     if fits_broadcast(vocabulary, max_rows):
         return rows.join(F.broadcast(vocabulary), on)
-    present = rows.select(*on).distinct()
-    vocabulary = materialize(vocabulary.join(present, on, "left_semi"), "vocabulary")
+    counts = rows.groupBy(*on).agg(F.count("*").alias("_n"))
+    counted = materialize(vocabulary.join(counts, on), "vocabulary")
+    vocabulary = counted.drop("_n")
     if fits_broadcast(vocabulary, max_rows):
         return rows.join(F.broadcast(vocabulary), on)
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(FIXED_SALTS)).cast("int"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(FIXED_SALTS - 1)))
-    return rows.join(vocabulary.withColumn("_salt", salts), [*on, "_salt"]).drop("_salt")
+    sizes = counted.groupBy(*on).agg(F.max("_n").alias("_n"))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    limit = max(HOT_MIN_ROWS, int(total * HOT_SHARE))
+    frequent = sizes.where(F.col("_n") > limit).withColumn("_salts", F.ceil(F.col("_n") / limit).cast("int")).drop("_n")
+    # At most 1 / HOT_SHARE rows.
+    found = frequent.collect()
+    hot = rows.sparkSession.createDataFrame(found, frequent.schema) if found else None
+    return salted_join(rows, vocabulary, on, hot, salt_on)

@@ -22,4 +22,3 @@ def tight(monkeypatch):
 
     monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 0)
     monkeypatch.setattr(sizing, "HOT_MIN_ROWS", 3)
-    monkeypatch.setattr(sizing, "FIXED_SALTS", 3)
