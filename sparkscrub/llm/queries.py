@@ -82,4 +82,38 @@ QUERIES: dict[str, Query] = {
         op10_quality_rules,
     )
 }
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LETTER_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+# Expected results where DuckDB can say them; the other queries are tested against plain models.
+SQL: dict[str, str] = {
+    "op6_decontamination": f"""
+WITH docs AS (SELECT doc_id, {_LETTER_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_LETTER_WORDS} AS w FROM benchmark),
+spans AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(greatest(1, len(w) - 9)),
+    lambda i: array_to_string(w[i + 1:i + 10], ' '))) AS g FROM items WHERE len(w) > 0),
+places AS (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS s
+    FROM docs, (SELECT DISTINCT n FROM spans) WHERE len(w) >= n),
+hits AS MATERIALIZED (SELECT doc_id, s, n, item_id
+    FROM (SELECT doc_id, s, n, array_to_string(w[s + 1:s + n], ' ') AS g FROM places) JOIN spans USING (n, g)),
+words AS (SELECT doc_id, count(*) AS n_hit FROM
+    (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+    string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op7_substring_dedup": f"""
+WITH docs AS (SELECT doc_id, {_SPACE_WORDS} AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(len(w) - 49)) AS s FROM docs WHERE len(w) >= 50),
+windows AS MATERIALIZED (SELECT doc_id, s, md5(array_to_string(w[s + 1:s + 50], ' ')) AS g FROM places),
+firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g),
+gone AS MATERIALIZED (SELECT doc_id, list_distinct(flatten(list(range(s, s + 50)))) AS p
+    FROM windows JOIN firsts USING (g) WHERE doc_id > first GROUP BY doc_id),
+kept AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM docs),
+lost AS (SELECT doc_id, unnest(p) AS i FROM gone),
+rest AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM kept ANTI JOIN lost USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(p), 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (doc_id) LEFT JOIN rest USING (doc_id)""",
+}
