@@ -16,7 +16,7 @@ from sparkscrub.functions.sqltext import let, name
 from sparkscrub.plans.handlers import Handler, analysed_sql, masked_sql
 from sparkscrub.sources.mailbox import PART_FIELDS, message_parts
 
-TEXT_KINDS = ("text", "html", "named_text", "named_html", "preamble", "epilogue")
+TEXT_KINDS = ("text", "html", "named_text", "named_html", "preamble", "epilogue", "headers")
 _TEXT_KINDS = "(" + ", ".join(f"'{k}'" for k in TEXT_KINDS) + ")"
 
 

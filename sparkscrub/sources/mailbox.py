@@ -82,13 +82,17 @@ def _leaf(part, path: str) -> dict:
 
 
 def _walk(part, path: str) -> Iterator[dict]:
-    """Leaves in document order, each multipart's preamble first and its epilogue last."""
+    """Leaves in document order, each multipart's preamble first and its epilogue last; of an
+    attached message its headers first, a line each."""
     if not part.is_multipart():
         yield _leaf(part, path)
         return
     if part.preamble:
         yield {"part_path": path, "kind": "preamble", "text": part.preamble}
     for i, child in enumerate(part.iter_parts()):
+        if part.get_content_maintype() == "message" and child.keys():
+            lines = "\n".join(f"{n}: {v}" for n, v in child.items())
+            yield {"part_path": f"{path}.{i}", "kind": "headers", "text": lines}
         yield from _walk(child, f"{path}.{i}")
     if part.epilogue:
         yield {"part_path": path, "kind": "epilogue", "text": part.epilogue}
@@ -161,7 +165,11 @@ def parse_messages(files: DataFrame) -> DataFrame:
 
 def read_mailbox(spark: SparkSession, path: str, glob: str = "*.eml") -> DataFrame:
     """A folder of email files, read at any depth, to one row per message. A file
-    without a single byte holds no message and gives no row."""
+    without a single byte holds no message and gives no row.
+
+    For small folders: the driver lists every file. Keep many messages as rows of a
+    table ``path, content`` and give that to ``parse_messages``.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
@@ -177,5 +185,6 @@ def message_headers(messages: DataFrame) -> DataFrame:
 
 
 def message_parts(messages: DataFrame) -> DataFrame:
-    """One row per leaf part, with rows for preamble and epilogue, in document order."""
+    """One row per leaf part, with rows for preamble, epilogue and the headers of attached
+    messages, in document order."""
     return expand(messages, ["path"], F.inline_outer("parts"), "part_no")

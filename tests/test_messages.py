@@ -179,3 +179,21 @@ def test_attachment_report(mail):
 def test_message_scope_needs_no_shuffle(mail):
     plan = messages.scrub_messages(mail)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_headers_of_an_attached_message_are_masked(spark):
+    inner = EmailMessage()
+    inner["From"] = "Ann <ann@b.org>"
+    inner["Subject"] = "call +1 (345) 555-1234"
+    inner.set_content("see ann@b.org")
+    outer = EmailMessage()
+    outer["To"] = "x"
+    outer.set_content("fwd")
+    outer.add_attachment(inner)
+    files = spark.createDataFrame([("m", bytearray(bytes(outer)))], "path string, content binary")
+    masked = messages.scrub_messages(mailbox.parse_messages(files), entities=["EMAIL_ADDRESS", "PHONE_NUMBER"])
+    parts = {r["part_path"] + r["kind"]: r["text"] for r in mailbox.message_parts(masked).collect()}
+    head = parts["0.1.0headers"]
+    assert "From: Ann <<EMAIL_ADDRESS>>" in head and "Subject: call <PHONE_NUMBER>" in head
+    assert parts["0.1.0text"].strip() == "see <EMAIL_ADDRESS>"
+    assert messages.quarantine(mailbox.parse_messages(files)).count() == 0
