@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-A line is signed by its character shingles. Shingles start at characters of a fixed
-class and at the line's begin, so similar lines sign with the same ones; the smallest
-hashes are the line's sketch, and minima of the sketch under different masks form bands.
+A line is signed by its character shingles: those that start at characters of a fixed
+class, and its first one, so similar lines sign with the same ones. The smallest hashes
+are the line's sketch; what is smallest in the sketch under different masks forms bands.
 Lines that share a band are compared by the exact Jaccard similarity of all their
 shingles; links are joined to components, of which the first line stays.
 """
@@ -16,10 +16,9 @@ from sparkscrub.llm.common import doc_rows, materialize, same
 from sparkscrub.llm.components import connected_components
 from sparkscrub.plans.sizing import fits_broadcast
 
-# Characters that begin a signing shingle: code points divisible by 4 below U+0080, all others above.
-_STARTS = r"[ $(,048<@DHLPTX`dhlptx|]|[^\x00-\x7f]"
-# Distinct lines in a band's bucket up to which all are compared with each other.
-SMALL_BUCKET = 32
+# Characters that begin a signing shingle: code points divisible by 8 below U+0080 that can
+# be printed, and all above.
+_STARTS = r"[ 08@HPX`hpx\x80-\x{10FFFF}]"
 _MASK = (1 << 64) - 1
 
 
@@ -43,16 +42,17 @@ def all_shingles(line: str, size: int) -> str:
 
 
 def band_hashes(line: str, size: int, bands: int, rows: int, sketch: int) -> str:
-    """SQL: an array with the hash of each band of a line."""
-    pattern = f"(?s)(?=((?:^.|{_STARTS}).{{{size - 1}}}))".replace("\\", "\\\\")
-    found = f"IF(length({line}) < {size}, array({line}), regexp_extract_all({line}, '{pattern}', 1))"
-    smallest = f"slice(sort_array(array_distinct({_hashed(found)})), 1, {sketch})"
-
-    def minimum(i):
-        return f"array_min(transform(k, x -> x ^ {_literal(_mask(i))}))"
+    """SQL: an array with the hash of each band of a line.
 
+    A band has a mask; it holds the ``rows`` hashes of the sketch that are smallest
+    under the mask, which agree for two lines as often as ``rows`` minima do.
+    """
+    pattern = f"(?s)(?=({_STARTS}.{{{size - 1}}}))".replace("\\", "\\\\")
+    found = f"concat(array(left({line}, {size})), regexp_extract_all({line}, '{pattern}', 1))"
+    smallest = f"slice(sort_array(array_distinct({_hashed(found)})), 1, {sketch})"
     own = ", ".join(
-        f"xxhash64({b}, {', '.join(minimum(b * rows + r) for r in range(rows))})" for b in range(bands)
+        f"xxhash64({b}, slice(sort_array(transform(k, x -> x ^ {_literal(_mask(b))})), 1, {rows}))"
+        for b in range(bands)
     )
     # The one-element array names the sketch, so that it is computed once.
     return f"transform(array({smallest}), k -> array({own}))[0]"
@@ -85,39 +85,38 @@ def _similarities(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame
     return materialize(rows.select("a", "b", j.alias("j")), "line-similarities")
 
 
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _parted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``band, h, j, part``: bucket members with their component, of buckets that hold several components."""
+    parts = connected_components(links).withColumnRenamed("node", "h")
+    parts = F.broadcast(parts) if fits_broadcast(parts) else parts
+    rows = rows.join(parts, "h", "left").withColumn("part", F.coalesce("component", "h"))
+    several = rows.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    return materialize(rows.join(several, "band", "left_semi").select("band", "h", "first", "part"), "parted-lines")
 
 
 def line_links(distinct: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links ``a, b`` between hashes of distinct lines (``h, bands``) that share a band and are similar.
+    """Links ``a, b`` between hashes of distinct lines (``h, bands``) that connect what shares a band and is similar.
 
-    In a small bucket all lines are compared. In a large one all are compared with its
-    first line; those that are not similar to it are compared with each other and, as
-    far as the triangle inequality of the Jaccard distance leaves it open, with the rest.
+    All lines of a bucket are compared with its first one. After that, only lines of a
+    bucket that are not connected yet can add anything; these are compared with each
+    other, unless their distances from the first line differ by more than a link allows.
     """
     rows = distinct.select("h", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("first")).where("n > 1")
+    buckets = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("first")).where("n > 1").drop("n")
     rows = materialize(rows.join(buckets, "band"), "line-buckets")
-    small, large = rows.where(F.col("n") <= SMALL_BUCKET), rows.where(F.col("n") > SMALL_BUCKET)
-    one, other = small.select("band", F.col("h").alias("x")), small.select("band", F.col("h").alias("y"))
-    pairs = one.join(other, "band").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    pairs = pairs.union(large.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b"))).distinct()
-    known = _similarities(pairs, lines, shingle)
+    stars = rows.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
+    known = _similarities(stars, lines, shingle)
     links = known.where(F.col("j") >= similarity).select("a", "b")
 
-    measured = large.join(known.select(F.col("a").alias("first"), F.col("b").alias("h"), "j"), ["first", "h"])
-    apart = materialize(measured.where(F.col("j") < similarity).select("band", "h", "j"), "apart-lines")
-    if apart.isEmpty():
+    rest = _parted(rows, links)
+    if rest.isEmpty():
         return links
-    x = apart.select("band", F.col("h").alias("x"), F.col("j").alias("jx"))
-    y = apart.select("band", F.col("h").alias("y"))
-    among = x.join(y, "band").where("x < y").select(*_ordered(F.col("x"), F.col("y")))
-    near = measured.where(F.col("j") >= similarity).select("band", F.col("h").alias("y"), F.col("j").alias("jy"))
-    reach = 1 - similarity + 1e-9
-    across = x.join(near, "band").where(F.col("jy") - F.col("jx") <= reach).select(*_ordered(F.col("x"), F.col("y")))
-    rest = among.union(across).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = _similarities(rest, lines, shingle)
+    near = known.select(F.col("a").alias("first"), F.col("b").alias("h"), "j")
+    rest = rest.where("h <> first").join(near, ["first", "h"])
+    x, y = (rest.select("band", *(F.col(c).alias(f"{c}_{n}") for c in ("h", "j", "part"))) for n in "xy")
+    pairs = x.join(y, "band").where("h_x < h_y AND part_x <> part_y")
+    pairs = pairs.where(F.abs(F.col("j_x") - F.col("j_y")) <= 1 - similarity + 1e-9)
+    more = _similarities(pairs.select(F.col("h_x").alias("a"), F.col("h_y").alias("b")).distinct(), lines, shingle)
     return links.union(more.where(F.col("j") >= similarity).select("a", "b"))
 
 
@@ -129,7 +128,7 @@ def removed_lines(
     similarity: float = 0.8,
     bands: int = 7,
     rows: int = 3,
-    sketch: int = 48,
+    sketch: int = 40,
 ) -> DataFrame:
     """``doc_id, k, removed``: the line numbers (from 0) that go, for documents that lose any.
 
@@ -140,8 +139,7 @@ def removed_lines(
     lines = line_rows(docs)
     own = [F.col("bands")[b].alias(f"b{b}") for b in range(bands)]
     signed = lines.select("h", "g", F.expr(band_hashes("line", shingle, bands, rows, sketch)).alias("bands"))
-    signed = signed.select("h", "g", *own).groupBy("h")
-    distinct = signed.agg(
+    distinct = signed.select("h", "g", *own).groupBy("h").agg(
         F.count("*").alias("n"),
         F.min("g").alias("low"),
         F.max("g").alias("high"),
