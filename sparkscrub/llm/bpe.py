@@ -89,7 +89,7 @@ def encode_texts(
 
     def make():
         own = codec(path, pattern)
-        return lambda texts: [(own.encode(t),) for t in texts]
+        return lambda texts: [(np.array(own.encode(t), "<i4"),) for t in texts]
 
     return map_texts(df, make, [("ids", T.ArrayType(T.IntegerType()))], key, text)
 
@@ -127,9 +127,9 @@ def round_trip(
 
         def one(text):
             ids = own.encode(text)
-            packed = np.array(ids, "<u4").tobytes()
-            out = len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
-            return (*out, ids) if with_ids else out
+            packed = np.array(ids, "<u4")
+            out = len(ids), hashlib.sha256(packed.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+            return (*out, packed.view("<i4")) if with_ids else out
 
         return lambda texts: [one(t) for t in texts]
 

@@ -76,13 +76,13 @@ def map_texts(
     def step(batches):
         compute = make()
         for batch in batches:
-            rows: list[tuple] = []
+            start = 0
+            # A batch for each chunk, so that few results are held at once.
             for chunk in in_chunks(x.as_py() for x in batch.column(len(names))):
-                rows += compute(chunk)
-            columns = zip(*rows) if rows else ([] for _ in own)
-            made = [pa.array(list(c), t) for c, t in zip(columns, own)]
-            kept = [batch.column(i).cast(arrow.field(i).type) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(kept + made, schema=arrow)
+                made = [pa.array(list(c), t) for c, t in zip(zip(*compute(chunk)), own)]
+                kept = [batch.column(i).slice(start, len(chunk)).cast(arrow.field(i).type) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays(kept + made, schema=arrow)
+                start += len(chunk)
 
     return map_rows(df.select(*(F.col(f"`{n}`") for n in names), F.col(f"`{text}`")), step, schema)
 
