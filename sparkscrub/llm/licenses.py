@@ -92,10 +92,14 @@ def words_of(text: Column) -> Column:
 
 
 def may_hold(text: Column) -> Column:
-    test = F.lit(False)
-    for stem in _STEMS:
-        test = test | F.contains(text, F.lit(stem))
-    return test
+    def test(low: Column) -> Column:
+        found = F.lit(False)
+        for stem in _STEMS:
+            found = found | F.contains(low, F.lit(stem))
+        return found
+
+    # The one-element array names the text, so that it is made once.
+    return F.exists(F.array(text), test)
 
 
 def phrase_places(words: str, phrase: str) -> str:
@@ -107,7 +111,7 @@ def phrase_places(words: str, phrase: str) -> str:
     return f"transform(array({words}), w -> IF(size(w) > {last}, {steps}, array()))[0]"
 
 
-def notice_index(spark: SparkSession, notices=NOTICES, rare: float = 0.25) -> DataFrame:
+def notice_index(spark: SparkSession, notices=NOTICES, rare: float = 0.125) -> DataFrame:
     """``word, notice, label, q, idf, total, length, phrases``: a row for each place of a rare word.
 
     Rare words stand in at most ``rare`` of the notices. ``total``: the notice's IDF
@@ -124,7 +128,7 @@ def notice_index(spark: SparkSession, notices=NOTICES, rare: float = 0.25) -> Da
 
 
 def confirmed_notices(
-    docs: DataFrame, notices=NOTICES, rare: float = 0.25, min_score: float = 0.5
+    docs: DataFrame, notices=NOTICES, rare: float = 0.125, min_score: float = 0.5
 ) -> DataFrame:
     """``doc_id, k, label, score`` of the notices that stand in ``docs`` (``doc_id, k, text``)."""
     index = notice_index(docs.sparkSession, notices, rare)
@@ -166,7 +170,7 @@ def scan_licenses(
     key: str = "doc_id",
     text: str = "text",
     notices=NOTICES,
-    rare: float = 0.25,
+    rare: float = 0.125,
     min_score: float = 0.5,
 ) -> DataFrame:
     """``key, n_words, n_base, first_word, last_word, base_labels, labels, score`` for every row.
