@@ -72,6 +72,12 @@ NOTICES = (
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("reserved", "copyright all rights reserved", ("all rights reserved",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
+    # Short mentions: the key phrase is the whole notice.
+    ("cc-by-nc", "attribution noncommercial", ("attribution noncommercial",)),
+    ("cc-by-sa", "attribution sharealike", ("attribution sharealike",)),
+    ("cc0", "cc0", ("cc0",)),
+    ("lgpl", "lesser general public license", ("lesser general public license",)),
+    ("mpl-2.0", "mozilla public license", ("mozilla public license",)),
 )
 
 # No key phrase or base phrase is in a text without one of these.
@@ -111,7 +117,7 @@ def phrase_places(words: str, phrase: str) -> str:
     return f"transform(array({words}), w -> IF(size(w) > {last}, {steps}, array()))[0]"
 
 
-def notice_index(spark: SparkSession, notices=NOTICES, rare: float = 0.125) -> DataFrame:
+def notice_index(spark: SparkSession, notices=NOTICES, rare: float = 0.25) -> DataFrame:
     """``word, notice, label, q, idf, total, length, phrases``: a row for each place of a rare word.
 
     Rare words stand in at most ``rare`` of the notices. ``total``: the notice's IDF
@@ -128,7 +134,7 @@ def notice_index(spark: SparkSession, notices=NOTICES, rare: float = 0.125) -> D
 
 
 def confirmed_notices(
-    docs: DataFrame, notices=NOTICES, rare: float = 0.125, min_score: float = 0.5
+    docs: DataFrame, notices=NOTICES, rare: float = 0.25, min_score: float = 0.5
 ) -> DataFrame:
     """``doc_id, k, label, score`` of the notices that stand in ``docs`` (``doc_id, k, text``)."""
     index = notice_index(docs.sparkSession, notices, rare)
@@ -170,7 +176,7 @@ def scan_licenses(
     key: str = "doc_id",
     text: str = "text",
     notices=NOTICES,
-    rare: float = 0.125,
+    rare: float = 0.25,
     min_score: float = 0.5,
 ) -> DataFrame:
     """``key, n_words, n_base, first_word, last_word, base_labels, labels, score`` for every row.

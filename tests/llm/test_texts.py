@@ -70,6 +70,32 @@ def test_each_notice_is_found(spark):
         assert label in got[n].labels.split(",") and 0.5 <= got[n].score <= 1, label
 
 
+def test_short_mentions_are_found(spark):
+    mentions = [
+        ("agpl", "GNU Affero General Public License"),
+        ("apache-2.0", "the Apache License, 2.0"),
+        ("bsd", "BSD license"),
+        ("cc-by", "Creative Commons Attribution"),
+        ("cc-by-nc", "Attribution-NonCommercial"),
+        ("cc-by-sa", "Attribution-ShareAlike"),
+        ("cc0", "CC0 1.0"),
+        ("gpl", "GNU General Public License"),
+        ("lgpl", "GNU Lesser General Public License v2.1"),
+        ("lgpl", "distributed under the GNU Lesser General Public License"),
+        ("mit", "MIT License"),
+        ("mpl-2.0", "Mozilla Public License 2.0"),
+    ]
+    rows = [(n, f"Some code here.\n{text}, and more.") for n, (_, text) in enumerate(mentions)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    for n, (label, text) in enumerate(mentions):
+        assert label in got[n].labels.split(",") and got[n].score >= 0.5, text
+
+
+def test_each_notice_has_rare_words(spark):
+    index = licenses.notice_index(spark).select("notice").distinct().collect()
+    assert len(index) == len(licenses.NOTICES)
+
+
 def test_license_rows(spark):
     rows = [
         (1, "Licensed under CC BY-NC 4.0."),
