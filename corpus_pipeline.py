@@ -14,7 +14,7 @@ from sparkscrub.llm.common import materialize
 from sparkscrub.llm.decontaminate import without_contaminated
 from sparkscrub.llm.lines import without_repeated_lines
 from sparkscrub.llm.quality import rate_quality
-from sparkscrub.llm.simhash import keep_one, simhash_components
+from sparkscrub.llm.simhash import without_near_copies
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return keep_one(docs, simhash_components(docs, shingle=4, radius=4))
+    return without_near_copies(docs, shingle=4, radius=4)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

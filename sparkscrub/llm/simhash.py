@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkscrub.llm.common import map_rows, map_texts, materialize
+from sparkscrub.llm.common import doc_rows, map_rows, map_texts, materialize, same
 from sparkscrub.llm.components import connected_components
 
 # Distinct fingerprints in a bucket before it is split; more are compared in one task.
@@ -158,6 +158,19 @@ def _links_of_runs(rows: np.ndarray, radius: int, last: bool) -> tuple[np.ndarra
     return np.concatenate(links) if links else none, rows[:, end:]
 
 
+def _fingerprints(df: DataFrame, key: str, text: str, shingle: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    def make():
+        return lambda texts: [(_signed(fingerprint(t, shingle)),) for t in texts]
+
+    return materialize(map_texts(df, make, [("fp", T.LongType())], key, text, keep), "fingerprints")
+
+
+def _with_components(distinct: DataFrame, radius: int) -> DataFrame:
+    """Rows of distinct fingerprints with ``component``, the smallest fingerprint that links reach."""
+    parts = connected_components(fingerprint_links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def simhash_components(
     df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4
 ) -> DataFrame:
@@ -171,15 +184,8 @@ def simhash_components(
     stay rows of one component. Rows without a key take part; a component without any
     key has no id. An empty table gives an empty result.
     """
-
-    def make():
-        return lambda texts: [(_signed(fingerprint(t, shingle)),) for t in texts]
-
-    docs = materialize(map_texts(df, make, [("fp", T.LongType())], key, text), "fingerprints")
-    distinct = docs.groupBy("fp").agg(F.min(key).alias("first"))
-    links = fingerprint_links(distinct.select("fp"), radius)
-    parts = connected_components(links).withColumnRenamed("node", "fp")
-    named = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    docs = _fingerprints(df, key, text, shingle)
+    named = _with_components(docs.groupBy("fp").agg(F.min(key).alias("first")), radius)
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = materialize(named.join(smallest, "component").select("fp", "component_id"), "components")
     return docs.join(ids, "fp").select(
@@ -188,6 +194,32 @@ def simhash_components(
 
 
 def keep_one(df: DataFrame, components: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` whose key is the id of its component; of repeated rows one stays."""
+    """The rows of ``df`` whose key is the id of its component; of repeated rows one stays.
+
+    Only for tables where every row has a key and no two texts share one: the key is
+    all that ``components`` tells of a row. ``without_near_copies`` has no such limit.
+    """
     kept = components.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
     return df.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key])
+
+
+def without_near_copies(
+    df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4
+) -> DataFrame:
+    """One row of each component of near copies: smallest key (null last), then smallest text hash.
+
+    A row is named by its key and the hash of its text, so a component keeps its row
+    also where keys are null or stand with several texts. Of repeated rows (same key,
+    same text) one stays. All columns are handed on; an empty table gives an empty result.
+    """
+    docs = _fingerprints(doc_rows(df, key, text).withColumn("k", F.xxhash64("text")), "doc_id", "text", shingle, ("k",))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")
+    named = _with_components(docs.groupBy("fp").agg(F.min(row).alias("first")), radius)
+    kept = named.groupBy("component").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.k").alias("_k"))
+    # Names by position, so that no column can clash.
+    names = [f"c{n}" for n in range(len(df.columns))]
+    own, words = (F.col(names[df.columns.index(c)]) for c in (key, text))
+    rows = df.toDF(*names).withColumn("k", F.xxhash64(words)).withColumn("id", own)
+    rows = rows.join(kept, (F.col("k") == F.col("_k")) & same(F.col("id"), F.col("_id")), "left_semi")
+    return rows.dropDuplicates(["id", "k"]).select(*names).toDF(*df.columns)

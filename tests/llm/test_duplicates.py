@@ -68,6 +68,30 @@ def test_simhash(spark, monkeypatch, bucket):
 
 def test_simhash_empty(spark):
     assert simhash.simhash_components(frame(spark, [])).collect() == []
+    assert simhash.without_near_copies(frame(spark, [])).collect() == []
+
+
+def test_every_component_keeps_a_row(spark):
+    """Null keys, one key with unrelated texts, and any order of rows."""
+    pick = random.Random(6)
+    a, b, c, d, e = (" ".join(f"w{pick.randint(0, 900)}" for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (5, d), (2, d), (3, e), (None, e), (3, c)]
+    expected = [(None, a), (None, b), (2, d), (3, c), (3, e)]
+    for order in (rows, rows[::-1]):
+        kept = simhash.without_near_copies(frame(spark, order).repartition(3))
+        assert kept.columns == ["doc_id", "text", "k", "fp", "band"]
+        assert by_key(kept.select("doc_id", "text").collect()) == by_key(expected)
+    rows = near_copies(7)
+    kept = simhash.without_near_copies(frame(spark, rows)).collect()
+    roots = {}
+    prints = [simhash.fingerprint(t or "", 4) for _, t in rows]
+    for i, root in enumerate(models.components(len(rows), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)):
+        roots.setdefault(root, []).append(i)
+    assert len(kept) == len(roots)
+    for group in roots.values():
+        keys = [rows[i][0] for i in group if rows[i][0] is not None]
+        found = [r for r in kept if any((r.doc_id, r.text) == rows[i] for i in group)]
+        assert [r.doc_id for r in found] == [min(keys, default=None)]
 
 
 @pytest.mark.parametrize("window", [50, 12, 6, 1])
