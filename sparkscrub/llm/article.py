@@ -23,7 +23,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+# One attribute after the other, so that values are never taken for names.
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -64,26 +65,36 @@ NOISE_WORDS = frozenset(
     " paywall disclaimer skip".split()
 )
 ARTICLE_WORDS = frozenset("article entry post story content".split())
+REPLY_WORDS = frozenset("comment comments disqus respond reply replies".split())
 NEVER_NOISE = frozenset("html body article main".split())
 
 
-def is_noise(name: str, attributes: str, in_article: bool) -> bool:
+def attributes_of(raw: str) -> dict[str, str]:
+    """Attributes by name in lower case; the first of equal names counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(raw):
+        if value[:1] in ("'", '"') and value[-1] == value[0]:
+            value = value[1:-1]
+        found.setdefault(name.lower(), value)
+    return found
+
+
+def noise_of(name: str, raw: str, in_article: bool) -> tuple[bool, set[str] | None]:
+    """Whether an element is noise as it stands, and its class and id words if these speak for noise."""
     if name in NEVER_NOISE:
-        return False
+        return False, None
     if name in NOISE or (name == "header" and not in_article):
-        return True
-    if not attributes.strip():
-        return False
-    words: set[str] = set()
-    for attribute, value in _ATTRIBUTE.findall(attributes):
-        attribute, value = attribute.lower(), value.strip("\"'")
-        if attribute == "hidden" or (attribute == "aria-hidden" and value.lower() == "true"):
-            return True
-        if attribute == "role" and value.lower() in NOISE_ROLES:
-            return True
-        if attribute in ("class", "id"):
-            words.update(w.lower() for w in _WORD.findall(value))
-    return bool(words & NOISE_WORDS) or ("header" in words and not in_article and not words & ARTICLE_WORDS)
+        return True, None
+    if not raw.strip():
+        return False, None
+    attributes = attributes_of(raw)
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+        return True, None
+    if attributes.get("role", "").lower() in NOISE_ROLES:
+        return True, None
+    words = {w.lower() for a in ("class", "id") for w in _WORD.findall(attributes.get(a, ""))}
+    doubt = words & NOISE_WORDS or ("header" in words and not in_article and not words & ARTICLE_WORDS)
+    return False, words if doubt else None
 
 
 class Page:
@@ -93,9 +104,13 @@ class Page:
         self.parent, self.noise = [-1], [False]
         self.tags, self.link_tags, self.chars, self.link_chars = [1], [0], [0], [0]
         self.texts: list[tuple[int, str]] = []
+        # blocks whose class or id words speak for noise, article and main elements
+        self.doubtful: dict[int, set[str]] = {}
+        self.cores: dict[int, str] = {}
         # characters of the whole page, of links too, noise included
         self.all_chars, self.all_link_chars = 0, 0
         self._read(source)
+        self._settle()
 
     def _read(self, source: str) -> None:
         # open elements: (name, block or None for inline)
@@ -168,7 +183,7 @@ class Page:
                         while len(stack) > n:
                             close()
                         break
-            noise = is_noise(name, attributes, articles > 0)
+            noise, words = noise_of(name, attributes, articles > 0)
             if name in VOID:
                 self.tags[block] += name != "br"
                 held.append(" ")
@@ -176,9 +191,13 @@ class Page:
                     flush()
                 continue
             own = None
-            if name not in INLINE or noise:
+            if name not in INLINE or noise or words:
                 flush()
                 own = len(self.parent)
+                if words:
+                    self.doubtful[own] = words
+                if name in ("article", "main"):
+                    self.cores[own] = name
                 self.parent.append(block)
                 self.noise.append(noise or self.noise[block])
                 for values, value in ((self.tags, 1), (self.link_tags, 0), (self.chars, 0), (self.link_chars, 0)):
@@ -195,6 +214,36 @@ class Page:
             close()
         flush()
 
+    def _settle(self) -> None:
+        """Blocks with words of noise become noise, unless they are wrappers of the main part of the page.
+
+        A wrapper holds the longest article element, a main element, or more than half of
+        the text: of that article if it stands in it, else of the page.
+        """
+        if not self.doubtful:
+            return
+        n = len(self.parent)
+        size = list(self.chars)
+        for i in range(n - 1, 0, -1):
+            if not self.noise[i]:
+                size[self.parent[i]] += size[i]
+        cores = [i for i in self.cores if not self.noise[i] and size[i]]
+        core = max(cores, key=lambda i: (self.cores[i] == "article", size[i], -i), default=0)
+        around, inside = [False] * n, [False] * n
+        for i in cores:
+            around[i] = i == core or self.cores[i] == "main"
+        for i in range(n - 1, 0, -1):
+            around[self.parent[i]] |= around[i]
+        for i in range(1, n):
+            p = self.parent[i]
+            inside[i] = p == core or inside[p]
+            words = self.doubtful.get(i)
+            wrapper = words is None or around[i]
+            if not wrapper and 2 * size[i] > size[core if inside[i] else 0]:
+                # Beside an article element, much text of readers is still theirs.
+                wrapper = not core or bool(words & ARTICLE_WORDS) or (inside[i] and not words & REPLY_WORDS)
+            self.noise[i] = self.noise[i] or self.noise[p] or not wrapper
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite density of each block, and the sum over its child blocks (its own without any)."""
         n = len(self.parent)

@@ -178,6 +178,55 @@ def test_article():
     assert article_text("<script>only") == article_text(" ") == article_text("<a 'b" * 2000) == ""
 
 
+BODY = "<p>The first paragraph tells a story in many words.</p><p>The second one goes on with it for a while.</p>"
+STORY = "The first paragraph tells a story in many words. The second one goes on with it for a while."
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        '<div style="overflow:hidden">',
+        '<div data-state="hidden" title="the hidden coast">',
+        "<div title='class=sidebar id=comments'>",
+        '<div data-role="navigation" data-x=a/hidden>',
+        '<div class="content has-sidebar">',
+        '<div class="post comments-open">',
+        '<section id="widget"><article>',
+        '<div class="has-sidebar"><main>',
+        '<article><div class="with-sidebar">',
+    ],
+)
+def test_wrappers_of_the_article_stay(wrapper):
+    assert article_text(f"<body>{wrapper}{BODY}</body>") == STORY
+
+
+def test_words_of_links_stay():
+    page = '<p>We wrote <a href="/list?id=comments">a long list</a> of <a title="a hidden one">things</a> for all.</p>'
+    assert article_text(page) == "We wrote a long list of things for all."
+
+
+@pytest.mark.parametrize(
+    "noise",
+    [
+        "<div hidden>{}</div>",
+        "<div HIDDEN=''>{}</div>",
+        "<div title='x' aria-hidden = 'true'>{}</div>",
+        "<div role=navigation>{}</div>",
+        "<div class='sidebar'>{}</div>",
+        "<div id=comments><article class=comment>{}</article></div>",
+    ],
+)
+def test_noise_beside_the_article_goes(noise):
+    other = noise.format("<p>Something else that stands beside it.</p>")
+    assert article_text(f"<body><article>{BODY}</article>{other}</body>") == STORY
+    assert article_text(f"<body><main><article>{BODY}</article>{other}</main></body>") == STORY
+    long = noise.format("<p>Something that many readers said of it at length.</p>" * 9)
+    if "<article" not in noise:
+        assert article_text(f"<body><article>{BODY}{other}</article>{other}</body>") == STORY
+        if "sidebar" not in noise:
+            assert article_text(f"<body><article>{BODY}</article>{long}</body>") == STORY
+
+
 def test_link_lists_stay_out():
     links = "<div>" + "".join(f"<a href={i}>Another story {i}</a> " for i in range(20)) + "</div>"
     body = "<div>" + "<p>A paragraph with many words that tell something of interest to us.</p>" * 5 + "</div>"
