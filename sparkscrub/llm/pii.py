@@ -2,9 +2,11 @@
 
 Base spans come from fixed patterns with checks. Beside them, looser shapes of the same
 kinds are instances in doubt. The words beside an instance are its lexical patterns.
-Spark scores the graph of patterns and instances in rounds: a pattern is as good as the
-instances that it stands with, an instance as good as its patterns; seeds count as one.
-Instances in doubt that good patterns agree on become spans, too.
+Spark scores the graph of patterns and instances in rounds: a pattern is as good as its
+seeds and confirmed instances against what speaks for something else: seeds of other
+kinds, shapes that fail their check, and instances in doubt beyond as many as it has
+confirmed. An instance is as good as its patterns. Instances in doubt that good patterns
+agree on become spans, too.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ _LOOSE = (
     (3, re.compile(r"(?<![0-9+])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9])")),
 )
 _WORD = re.compile(r"[^\W\d_]+")
+# Instances that are none, added to each pattern: with min_support seeds and nothing against it a pattern is good.
+PRIOR = 0.25
 # Characters beside a span in which its context is looked for.
 _REACH = 80
 
@@ -44,6 +48,7 @@ MENTION = T.StructType(
         T.StructField("start", T.IntegerType()),
         T.StructField("stop", T.IntegerType()),
         T.StructField("value", T.StringType()),
+        # null: a shape that fails its check
         T.StructField("seed", T.BooleanType()),
         T.StructField("left", T.StringType()),
         T.StructField("right", T.StringType()),
@@ -62,9 +67,10 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, stop) of the base patterns, by start, then kind."""
+def base_spans(text: str, failed: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
+    """(start, kind, stop) of the base patterns, by start, then kind; ``failed`` takes addresses and numbers out of range."""
     spans, last = [], 0
+    failed = [] if failed is None else failed
     if "@" in text:
         for m in _DOMAIN.finditer(text):
             start = m.start()
@@ -77,6 +83,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         parts = (p.lstrip("0") for p in m[0].split("."))
         if all(len(p) < 4 and int(p or 0) <= 255 for p in parts):
             spans.append((m.start(), 1, m.end()))
+        else:
+            failed.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 14 <= len(digits) <= 19 and luhn(digits):
@@ -85,6 +93,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         for m in _PHONE.finditer(text):
             if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
                 spans.append((m.start(), 3, m.end()))
+            else:
+                failed.append((m.start(), 3, m.end()))
     return sorted(spans)
 
 
@@ -122,9 +132,10 @@ def context(text: str, start: int, stop: int) -> tuple[str, str]:
 
 
 def mentions(text: str) -> tuple[list[tuple], list[dict]]:
-    base = base_spans(text)
+    failed: list[tuple[int, int, int]] = []
+    base = base_spans(text, failed)
     rows = []
-    for spans, seed in ((base, True), (loose_spans(text, base), False)):
+    for spans, seed in ((base, True), (loose_spans(text, base), False), (failed, None)):
         for start, kind, stop in spans:
             left, right = context(text, start, stop)
             value = text[start:stop]
@@ -139,7 +150,9 @@ def learned_instances(
 
     ``found``: mentions as rows. A pattern is a kind and the word left, right, or on both
     sides of an instance. It counts if it stands with at least ``min_support`` different
-    seeds and its score is at least ``min_pattern``.
+    seeds and its score is at least ``min_pattern``: its confirmed instances as a share of
+    themselves, seeds of other kinds, failed shapes, what is in doubt beyond as many as are
+    confirmed, and ``PRIOR``.
     """
     sides = F.array(
         F.when(F.col("left") != "", F.concat(F.lit("l:"), "left")),
@@ -149,8 +162,17 @@ def learned_instances(
     edges = found.select("kind", "value", "seed", F.explode(sides).alias("pattern")).where("pattern IS NOT NULL")
     # What is a seed anywhere is a seed everywhere.
     edges = edges.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"))
-    open_patterns = edges.where("NOT seed").select("kind", "pattern").distinct()
-    edges = materialize(edges.join(open_patterns, ["kind", "pattern"], "left_semi"), "context-edges")
+    counts = edges.groupBy("pattern", "kind").agg(
+        F.count_if("seed").alias("own"),
+        F.count_if(F.col("seed").isNull()).alias("failed"),
+        F.count_if(~F.col("seed")).alias("doubtful"),
+    )
+    # Four kinds at most, so a pattern has few rows here.
+    total = counts.groupBy("pattern").agg(F.sum("own").alias("all"))
+    open_patterns = counts.where((F.col("doubtful") > 0) & (F.col("own") >= min_support)).join(total, "pattern")
+    open_patterns = open_patterns.select("kind", "pattern", (F.col("all") - F.col("own") + F.col("failed")).alias("against"))
+    edges = edges.where("seed IS NOT NULL").join(open_patterns, ["kind", "pattern"])
+    edges = materialize(edges, "context-edges")
     scores = materialize(
         edges.where("NOT seed").select("kind", "value").distinct().withColumn("score", F.lit(0.0)), "context-scores"
     )
@@ -160,11 +182,15 @@ def learned_instances(
         weighed = edges.join(scores, ["kind", "value"], "left")
         weight = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
         patterns = weighed.groupBy("kind", "pattern").agg(
-            # one more instance that is none, so that rare patterns do not count as sure
-            (F.sum(F.round(weight, 9)) / (F.count("*") + 1)).alias("quality"),
+            F.sum(F.round(weight, 9)).alias("sure"),
+            F.count("*").alias("n"),
+            F.min("against").alias("against"),
             F.count_if("seed").alias("seeds"),
         )
+        beyond = F.greatest(F.lit(0.0), F.col("n") - 2 * F.col("sure"))
+        patterns = patterns.withColumn("quality", F.col("sure") / (F.col("sure") + F.col("against") + beyond + PRIOR))
         good = patterns.where((F.col("seeds") >= min_support) & (F.col("quality") >= min_pattern))
+        good = good.select("kind", "pattern", "quality")
         doubt = edges.where("NOT seed").join(good, ["kind", "pattern"])
         missed = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("quality"))))
         scores = doubt.groupBy("kind", "value").agg((1 - F.exp(missed)).alias("score"))
