@@ -29,13 +29,19 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
+# "at" in all its spellings, and what follows a local part. A local part begins at the left edge of its run, so that
+# long runs take linear time.
+_AT = re.compile(r"\bat\b", re.I)
+_SPELLED = r" ?(?:\[at\]|\(at\)|\bat\b) ?[\w-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\bdot\b|\.) ?[\w-]{1,63}){1,8}"
+
 # Shapes in doubt, by kind; none may touch a base span.
 _LOOSE = (
-    (0, re.compile(r"(?<![\w.])[\w.%+-]{1,64} ?(?:\[at\]|\(at\)|\bat\b) ?[\w-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\bdot\b|\.) ?[\w-]{1,63}){1,8}", re.I)),
+    (0, re.compile(rf"(?<![\w.%+-])[\w.%+-]+{_SPELLED}", re.I)),
     (1, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![0-9A-Fa-f:])")),
     (2, re.compile(r"(?<![0-9])[0-9](?:[ .-]?[0-9]){11,18}(?![0-9])")),
     (3, re.compile(r"(?<![0-9+])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9])")),
 )
+_LATER = re.compile(rf"[\w.%+-]+{_SPELLED}", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 # Instances that are none, added to each pattern: with min_support seeds and nothing against it a pattern is good.
 PRIOR = 0.25
@@ -98,19 +104,25 @@ def base_spans(text: str, failed: list[tuple[int, int, int]] | None = None) -> l
     return sorted(spans)
 
 
+def spelled_out(pattern: re.Pattern, text: str):
+    """Matches from left to right; a sign that ends an address may begin the run of the next one."""
+    m = pattern.search(text)
+    while m:
+        yield m
+        end = m.end()
+        m = (text[end : end + 1] in ("%", "+", "-") and _LATER.match(text, end + 1)) or pattern.search(text, end)
+
+
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, stop) of shapes in doubt that touch no base span."""
     found = []
     covered = None
-    low = text.lower()
     for kind, pattern in _LOOSE:
-        if kind == 0 and " at " not in low and "[at]" not in low and "(at)" not in low:
-            continue
-        if kind == 0 and " dot " not in low and "[dot]" not in low and "(dot)" not in low and "[at]" not in low:
+        if kind == 0 and not _AT.search(text):
             continue
         if kind == 1 and ":" not in text:
             continue
-        for m in pattern.finditer(text):
+        for m in spelled_out(pattern, text) if kind == 0 else pattern.finditer(text):
             if kind == 3 and not 7 <= sum(c.isdigit() for c in m[0]) <= 15:
                 continue
             if covered is None:

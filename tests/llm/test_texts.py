@@ -78,6 +78,15 @@ def test_contexts_with_many_unseen_identifiers(spark):
     assert (recall, precision) == (1, 1)
 
 
+def test_spelled_addresses_are_candidates_by_themselves():
+    for one in ("john (at) example.com", "john at example.com", "john[AT]example.com", "a" * 99 + " at example dot com", "john\tat example.com"):
+        for rest in ("", " Also a dot b."):
+            found = {(k, one[a:b]) for a, k, b in pii.loose_spans(one + rest, []) if b <= len(one)}
+            assert found == ({(0, one)} if "\t" not in one else set())
+    assert [b - a for a, _, b in pii.loose_spans("a at b.c+dd at e.f", [])] == [8, 9]
+    assert pii.loose_spans("we meet at noon", []) == pii.loose_spans("that [cat]a.b", []) == []
+
+
 def test_digest(spark):
     text = "a.b@c.de 10.0.0.1, 4111 1111 1111 1111 +33 1 23 45 67 89 x@y.zz"
     row = pii.personal_data_digest(pii.find_personal_data(frame(spark, [(1, text)]))).first()
