@@ -23,8 +23,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a base rule or the forest rejects go."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return rate_quality(docs, _table(spark, sf_dir, "labels"), keep=others).where("kept").select(*docs.columns)
+    # Names by position while they are rated, so that no column can clash.
+    others = {f"c{n}": c for n, c in enumerate(docs.columns) if c != "doc_id"}
+    own = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for n, c in others.items()))
+    kept = rate_quality(own, _table(spark, sf_dir, "labels"), keep=tuple(others)).where("kept")
+    back = {c: F.col(n).alias(c) for n, c in others.items()} | {"doc_id": F.col("doc_id")}
+    return kept.select(*(back[c] for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

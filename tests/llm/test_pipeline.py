@@ -73,6 +73,17 @@ def test_quality(spark, docs):
     assert all(not r.kept for r in got if r.base_failed)
 
 
+def test_quality_rules_with_columns_of_their_names(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    more = documents.selectExpr("*", "'a' AS kept", "doc_id AS score", "'b' AS n_words", "1 AS c1", "2 AS `x.y`")
+    got = corpus_pipeline.quality_rules(spark, more, SF)
+    assert got.columns == more.columns
+    expected = corpus_pipeline.quality_rules(spark, documents, SF)
+    found = by_key(got.collect())
+    assert [r[: len(documents.columns)] for r in found] == by_key(expected.collect())
+    assert all(r[-5:] == ("a", r[0], "b", 1, 2) for r in found)
+
+
 def test_pipeline(spark, docs, items):
     """Each stage against a plain model of it, on what the one before kept."""
     names, functions = zip(*corpus_pipeline.STAGES)
