@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkscrub.llm import backtrack, trie, variants
 from sparkscrub.llm.article import extract_articles
 from sparkscrub.llm.bpe import round_trip
 from sparkscrub.llm.decontaminate import contamination
@@ -67,6 +68,20 @@ def op10_quality_rules(spark, sf_dir):
     return rate_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_backtracking_bpe(spark, sf_dir):
+    return backtrack.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark, sf_dir):
+    turns = trie.turn_digests(table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(*trie.share_openings(turns, family=20, most=4))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    words = variants.count_words(table(spark, sf_dir, "documents"), min_length=7, min_count=2, slips=31)
+    return variants.group_variants(words, ratio=10)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -80,11 +95,24 @@ QUERIES: dict[str, Query] = {
         op8_html_article,
         op9_license_scan,
         op10_quality_rules,
+        op11_backtracking_bpe,
+        op12_conversation_trie,
+        op13_spelling_variants,
     )
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LETTER_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+# CRC-32 of a number in decimal, bit by bit.
+_CRC32 = (
+    "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), "
+    "lambda x: CAST(ascii(x) AS BIGINT))), lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), "
+    "lambda b, i: CASE WHEN b & 1 = 1 THEN xor(b >> 1, CAST(3988292384 AS BIGINT)) ELSE b >> 1 END)), "
+    "CAST(4294967295 AS BIGINT))"
+)
+_TURNS_KEY = (
+    "md5(array_to_string(list_transform({}, lambda t: concat(length(t.r), ':', t.r, length(t.x), ':', t.x)), ''))"
+)
 
 # Expected results where DuckDB can say them; the other queries are tested against plain models.
 SQL: dict[str, str] = {
@@ -116,4 +144,24 @@ lost AS (SELECT doc_id, unnest(p) AS i FROM gone),
 rest AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM kept ANTI JOIN lost USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(len(p), 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM docs LEFT JOIN gone USING (doc_id) LEFT JOIN rest USING (doc_id)""",
+    "op12_conversation_trie": rf"""
+WITH own AS MATERIALIZED (SELECT conv_id AS c, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, ''))
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT c, s, c - c % 20 AS head, {_CRC32} % 4 AS h FROM own),
+built AS (SELECT o.c, list_concat(coalesce(f.s[1:h], []), o.s[h + 1:]) AS s FROM heads o LEFT JOIN own f ON f.c = o.head),
+steps AS (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM built),
+paths AS MATERIALIZED (SELECT c, d, d = len(s) AS last, {_TURNS_KEY.format("s[1:d]")} AS k,
+    CASE WHEN d > 0 THEN {_TURNS_KEY.format("s[1:d - 1]")} END AS up,
+    CASE WHEN d > 0 THEN len(regexp_extract_all(s[d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w FROM steps),
+nodes AS MATERIALIZED (SELECT k, d, min(c) AS conv_id, any_value(up) AS up, count(*) AS n,
+    (count(*) - 1) * any_value(w) AS saved, count(*) FILTER (last) = count(*) AS leaf,
+    string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last) AS ends FROM paths GROUP BY k, d),
+below AS (SELECT p.k, p.d, CAST(count(*) FILTER (leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved
+    FROM nodes t JOIN paths p ON p.c = t.conv_id AND p.d <= t.d GROUP BY p.k, p.d),
+children AS (SELECT up AS k, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY up, d)
+SELECT t.conv_id, t.d AS depth, f.conv_id AS parent_conv_id, t.n AS n_convs, coalesce(n_children, 0) AS n_children,
+    n_leaves, b.saved AS saved_tokens, sha256(coalesce(t.ends, '')) AS ends_sha256
+FROM nodes t JOIN below b USING (k, d) LEFT JOIN children USING (k, d)
+LEFT JOIN nodes f ON f.k = t.up AND f.d = t.d - 1""",
 }

@@ -1,7 +1,9 @@
 """Plain models of the operators, one document at a time."""
 
 import hashlib
+import math
 import re
+import zlib
 
 import numpy as np
 import xxhash
@@ -175,3 +177,68 @@ def phrase_places(text, phrases):
         if found:
             labels.add(label)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def trie_nodes(rows, family, most=4):
+    convs = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            convs.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(turns)] for c, turns in convs.items()}
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % most if family else 0
+        head = c - int(math.fmod(c, family)) if family else c
+        built[c] = own.get(head, [])[:h] + turns[h:]
+    members, children = {}, {}
+    for c in sorted(built):
+        for d in range(len(built[c]) + 1):
+            members.setdefault(tuple(built[c][:d]), []).append(c)
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    below, out = {}, []
+    for node in sorted(members, key=len, reverse=True):
+        words = len(space_words(node[-1][1])) if node else 0
+        own = children.get(node, [])
+        leaves = sum(below[x][0] for x in own) or 1
+        saved = (len(members[node]) - 1) * words + sum(below[x][1] for x in own)
+        below[node] = leaves, saved
+        ends = sha(",".join(str(c) for c in members[node] if len(built[c]) == len(node)))
+        parent = members[node[:-1]][0] if node else None
+        out.append((members[node][0], len(node), parent, len(members[node]), len(own), leaves, saved, ends))
+    return sorted(out)
+
+
+def word_counts(docs, slips, min_length=7, min_count=2):
+    counts = {}
+    for key, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lowered(run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if slips and h % slips == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= min_length:
+                counts[run] = counts.get(run, 0) + 1
+    return sorted((w, n) for w, n in counts.items() if n >= min_count)
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b or len(b) - len(a) > 1:
+        return False
+    i = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
+    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+
+
+def variant_rows(words, ratio=10):
+    n = dict(words)
+    near = {w: [x for x in n if abs(len(x) - len(w)) < 2 and one_edit(w, x)] for w in n}
+    best = {w: min(xs, key=lambda x: (-n[x], x)) for w, xs in near.items() if xs}
+    form = {w: x for w, x in best.items() if n[x] >= ratio * n[w]}
+
+    def root(w):
+        return root(form[w]) if w in form else w
+
+    return sorted((w, n[w], len(near[w]), form.get(w), n.get(form.get(w)), root(w)) for w in n)
