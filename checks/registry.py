@@ -30,6 +30,7 @@ from sparkscrub.plans.sizing import materialize, scratch_dir
 from sparkscrub.sources import mailbox
 from sparkscrub.sources.tables import read_texts, text_parts, write_masked
 from sparkscrub.streaming.jobs import read_text_stream, scrub_stream, write_masked_stream
+from sparkscrub.streaming.scopes import scrub_scope_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -148,6 +149,43 @@ def _scrub_stream(spark, sf_dir):
     return spark.read.parquet(f"{base}/out")
 
 
+# Conversations arrive in three loads, two turns of each at a time.
+_LOAD = "least(coalesce(turn, 0) div 2, 2)"
+
+
+def scope_stream_sql() -> str:
+    """Each turn is masked with what its conversation has shown up to its load."""
+    src = (
+        "SELECT conv_id * 1000 + turn AS id, conv_id AS scope_id, text, "
+        f"{_LOAD.replace(' div ', ' // ')} AS load FROM conversations"
+    )
+    return o.with_(
+        o.spans(src, o.FOUR)
+        + [
+            "seen AS MATERIALIZED (SELECT scope_id, load, value, entity_type FROM spans JOIN src USING (id))",
+            f"held AS (SELECT src.id, value, concat('<', arg_min(entity_type, {o.RANK_CASE}), '>') AS placeholder FROM src "
+            "JOIN seen ON seen.scope_id = src.scope_id AND seen.load <= src.load AND contains(text, value) "
+            "GROUP BY src.id, value)",
+        ]
+        + o.folds("id", "held"),
+        f"SELECT id, {o.fold('text')} AS masked FROM src LEFT JOIN maps ON scope = id",
+    )
+
+
+@query("scrub_stream_conversations", scope_stream_sql())
+def _scrub_scope_stream(spark, sf_dir):
+    """The stream is stopped after each load and goes on with the next one."""
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    turns = table(spark, sf_dir, "conversations").withColumn("load", F.expr(_LOAD))
+    for load in range(3):
+        turns.where(F.col("load") == load).drop("load").write.mode("append").parquet(f"{base}/in")
+        stream = read_text_stream(spark, f"{base}/in", turns.drop("load").schema)
+        masked = scrub_scope_stream(stream, ["conv_id"], entities=o.FOUR)
+        masked = masked.select(F.expr("conv_id * 1000 + turn").alias("id"), "masked")
+        write_masked_stream(masked, f"{base}/out", f"{base}/log", keep=["id", "masked"], available_now=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 # --- catalogue and selection --------------------------------------------------------
 
 

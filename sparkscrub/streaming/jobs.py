@@ -1,8 +1,7 @@
 """Masking as a continuous job: rows and files are masked as they land.
 
-Row scope only, so the stream holds no state and needs no watermark; a failed run
-starts again from the stream checkpoint. For group scope mask the landed table in a
-batch job.
+Here each row stands alone, so the stream holds no state and needs no watermark; a failed
+run starts again from the stream checkpoint. ``streaming.scopes`` masks per scope.
 """
 
 from __future__ import annotations
