@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkscrub.plans import bitfilter
 from sparkscrub.plans.expand import expand
 from sparkscrub.plans.sizing import fits_broadcast, join_vocabulary, materialize
 
@@ -58,8 +59,8 @@ def find_values(
 
     ``values`` has distinct ``scope..., value``. Empty values occur nowhere. Runs jobs
     when called: the looked-up pieces are stored and counted. If they can be broadcast,
-    a text is read once and no text moves; else pieces of texts are joined with them,
-    and the texts follow for the pairs that share a piece.
+    a text is read once and no text moves; else the pieces of texts that pass a filter of
+    them are joined with them, and the texts follow that share a piece.
     """
     values = values.select(*scope, "value").where("value <> ''")
     anchors = materialize(_anchors(values, scope), "anchors")
@@ -75,9 +76,22 @@ def find_values(
         whole = "at >= offset AND substring(_text, at - offset + 1, length(value)) = value"
         return near.where(whole).select(*scope, *key, "value").distinct()
 
-    grams = ", ".join(_grams_sql("_text", q) for q in present)
-    pieces = F.explode_outer(F.expr(f"array_distinct(concat({grams}))")).alias("gram")
-    rows = expand(texts, [*scope, *key], pieces, "gram")
-    near = join_vocabulary(rows, anchors, [*scope, "gram"], key, max_broadcast_rows)
-    pairs = near.select(*scope, *key, "value").join(texts, [*scope, *key])
+    near = join_vocabulary(_pieces(texts, anchors, scope, key, present), anchors, [*scope, "gram"], key, max_broadcast_rows)
+    pairs = materialize(near.select(*scope, *key, "value").distinct(), "found-pieces")
+    # Only texts that hold a piece follow.
+    row = F.xxhash64(F.lit(0), *scope, *key)
+    holds = bitfilter.bit_filter(pairs.select(row), pairs.count())
+    pairs = pairs.join(bitfilter.rows_in(texts, row, holds), [*scope, *key])
     return pairs.where("contains(_text, value)").select(*scope, *key, "value")
+
+
+def _pieces(texts: DataFrame, anchors: DataFrame, scope: list[str], key: list[str], lengths: list[int]) -> DataFrame:
+    """Rows ``scope, key, gram``: the pieces of each text that may be looked up in its scope.
+
+    A filter of fixed size is tested where the texts are read, so about as many rows are
+    moved as there are hits.
+    """
+    mix = F.xxhash64(F.lit(1), *scope) if scope else F.lit(0).cast("long")
+    looked_up = anchors.select(*scope, "gram").distinct()
+    members = bitfilter.bit_filter(bitfilter.hashed_pieces(looked_up, "gram", mix), looked_up.count())
+    return materialize(bitfilter.pieces_in(texts, "_text", [*scope, *key], mix, lengths, members), "pieces")
