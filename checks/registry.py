@@ -18,6 +18,7 @@ from sparkscrub.functions import mask, spans
 from sparkscrub.functions.sqlfunctions import register_functions
 from sparkscrub.operators import messages, reports
 from sparkscrub.operators import scrub as scrubbing
+from sparkscrub.operators.automaton import automaton_spans, automaton_values
 from sparkscrub.operators.detect import detect, explode_spans, select_spans
 from sparkscrub.operators.gazetteer import gazetteer_spans
 from sparkscrub.operators.matching import find_values
@@ -316,6 +317,11 @@ def _gazetteer(spark, sf_dir):
     return gazetteer_spans(notes(spark, sf_dir), terms(spark, sf_dir), "text", ["note_id"])
 
 
+@query("automaton_spans_in_notes", SQL["gazetteer_spans_in_notes"])
+def _automaton(spark, sf_dir):
+    return automaton_spans(notes(spark, sf_dir), terms(spark, sf_dir), "text", ["note_id"])
+
+
 # --- spans and maps -------------------------------------------------------------------
 
 
@@ -807,13 +813,24 @@ def _find(spark, sf_dir):
         "SELECT value, coalesce(n, 0) AS n_texts, n IS NOT NULL AS leaked FROM known LEFT JOIN found USING (value)",
     ),
 )
-def _leak_check(spark, sf_dir):
+def _leaks(spark, sf_dir, automaton=False):
     masked = scrubbing.scrub(notes(spark, sf_dir)).select("note_id", "masked")
     customers = table(spark, sf_dir, "customer")
     known = customers.select(F.expr("concat('user', c_custkey, '@example.com')").alias("value")).union(
         customers.select("c_name")
     )
-    return reports.leak_check(masked, known, "masked", ["note_id"])
+    return reports.leak_check(masked, known, "masked", ["note_id"], automaton)
+
+
+@query("automaton_known_values", SQL["find_known_values"])
+def _automaton_find(spark, sf_dir):
+    known = terms(spark, sf_dir).where("entity_type <> 'NRP'").select(F.col("term").alias("value")).distinct()
+    return automaton_values(notes(spark, sf_dir), known, [], ["note_id"])
+
+
+@query("automaton_leak_check", SQL["leak_check"])
+def _automaton_leaks(spark, sf_dir):
+    return _leaks(spark, sf_dir, automaton=True)
 
 
 @query(

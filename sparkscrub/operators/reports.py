@@ -9,29 +9,39 @@ from pyspark.sql import functions as F
 
 from sparkscrub.catalog import entity_catalog, select_entities
 from sparkscrub.functions.spans import ranked_values_sql
+from sparkscrub.operators.automaton import automaton_values
 from sparkscrub.operators.detect import detect, explode_spans
 from sparkscrub.operators.matching import find_values
 from sparkscrub.plans.sizing import materialize
 
 
 def leaks(
-    masked: DataFrame, known: DataFrame, text: str = "masked", key: list[str] | None = None
+    masked: DataFrame,
+    known: DataFrame,
+    text: str = "masked",
+    key: list[str] | None = None,
+    automaton: bool = False,
 ) -> DataFrame:
     """Rows ``key, value``: a known string is still present in a masked text.
 
-    ``known`` has a column ``value`` and may be of any size.
+    ``known`` has a column ``value`` and may be of any size. With ``automaton`` all strings
+    are looked for in one reading of each text, in Python workers; else pieces are joined.
     """
     key = key or ["part_id"]
     values = known.select("value").distinct()
-    return find_values(masked, values, [], key, text)
+    return (automaton_values if automaton else find_values)(masked, values, [], key, text)
 
 
 def leak_check(
-    masked: DataFrame, known: DataFrame, text: str = "masked", key: list[str] | None = None
+    masked: DataFrame,
+    known: DataFrame,
+    text: str = "masked",
+    key: list[str] | None = None,
+    automaton: bool = False,
 ) -> DataFrame:
     """For each known string: in how many masked texts it is still present, zero included."""
     values = materialize(known.select("value").distinct(), "known")
-    found = leaks(masked, values, text, key).groupBy("value").agg(F.count("*").alias("n_texts"))
+    found = leaks(masked, values, text, key, automaton).groupBy("value").agg(F.count("*").alias("n_texts"))
     return values.join(found, "value", "left").select(
         "value", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.col("n_texts").isNotNull().alias("leaked")
     )
