@@ -22,6 +22,7 @@ from sparkscrub.operators.automaton import automaton_spans, automaton_values
 from sparkscrub.operators.detect import detect, explode_spans, select_spans
 from sparkscrub.operators.gazetteer import gazetteer_spans
 from sparkscrub.operators.matching import find_values
+from sparkscrub.operators.overlaps import mask_spans_of, resolve_spans
 from sparkscrub.operators.scopes import scope_keys, scrub_with_keys
 from sparkscrub.plans import providers
 from sparkscrub.plans.expand import expand
@@ -419,6 +420,30 @@ def _resolve(spark, sf_dir):
     return explode_spans(kept)
 
 
+# All line items of a supplier as spans of one long text.
+_SUPPLIER_SPANS = (
+    "SELECT l_suppkey, CAST(l_orderkey * 2 + l_linenumber * 3 AS INT) AS start, "
+    "CAST(l_orderkey * 2 + l_linenumber * 3 + l_quantity % 9 AS INT) AS stop, "
+    "CASE l_partkey % 3 WHEN 0 THEN 'URL' WHEN 1 THEN 'PERSON' ELSE 'US_SSN' END AS entity_type, "
+    "concat(l_partkey, '/', l_linenumber) AS value FROM {lineitem}"
+)
+
+
+@query(
+    "resolve_overlaps_of_suppliers",
+    o.with_(
+        [_DUCK_RESOLVED[0].replace(_LINE_SPANS.format(lineitem="lineitem"), _SUPPLIER_SPANS.format(lineitem="lineitem"))]
+        + [c.replace("l_orderkey", "l_suppkey") for c in _DUCK_RESOLVED[1:]],
+        'SELECT l_suppkey, y.s AS start, y.e AS "end", y.t AS entity_type, y.v AS value '
+        "FROM (SELECT l_suppkey, unnest(x) AS y FROM resolved)",
+    ),
+)
+def _resolve_long(spark, sf_dir):
+    lines = spark.sql(_SUPPLIER_SPANS.format(lineitem=f"parquet.`{sf_dir}/lineitem.parquet`"))
+    span = F.struct("start", F.col("stop").alias("end"), "entity_type", "value")
+    return explode_spans(resolve_spans(lines.groupBy("l_suppkey").agg(F.collect_list(span).alias("spans"))))
+
+
 _NO_OPS = "map(c_name, '<PERSON>', '', '<X>', n_name, n_name, region, '<LOCATION>')"
 
 
@@ -480,6 +505,28 @@ def _by_position(spark, sf_dir):
     return scrubbing.scrub_by_position(notes(spark, sf_dir), entities=chosen).select("note_id", "masked")
 
 
+@query(
+    "mask_spans_of_customers",
+    # All notes of a customer as one text, with the spans of each at its place.
+    o.with_(
+        o.spans(f"SELECT note_id AS id, cust_id, text FROM ({o.DUCK_NOTES})", ["EMAIL_ADDRESS", "PHONE_NUMBER", "US_SSN"])
+        + [
+            "steps AS (SELECT id, list(struct_pack(t := '', s := start, e := \"end\", r := concat('<', entity_type, '>')) "
+            "ORDER BY start DESC) AS k FROM spans GROUP BY id)",
+            "masked AS (SELECT id, cust_id, CASE WHEN k IS NULL THEN text ELSE list_reduce(k, lambda a, x: struct_pack(t := "
+            "concat(substr(a.t, 1, x.s), x.r, substr(a.t, x.e + 1)), s := x.s, e := x.e, r := x.r), "
+            "struct_pack(t := text, s := 0, e := 0, r := '')).t END AS m FROM src LEFT JOIN steps USING (id))",
+        ],
+        "SELECT cust_id, string_agg(m, chr(10) ORDER BY id) AS masked FROM masked GROUP BY cust_id",
+    ),
+)
+def _mask_long(spark, sf_dir):
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("note_id", "text"))), lambda n: n["text"])
+    texts = notes(spark, sf_dir).groupBy("cust_id").agg(F.array_join(lines, "\n").alias("text"))
+    found = detect(texts, entities=["EMAIL_ADDRESS", "PHONE_NUMBER", "US_SSN"])
+    return mask_spans_of(found, direct=20).select("cust_id", "masked")
+
+
 _SOURCES = "SELECT doc_id AS id, source AS scope_id, text FROM documents"
 _CUSTOMERS = f"SELECT note_id AS id, cust_id AS scope_id, text FROM ({o.DUCK_NOTES})"
 _REGIONS = f"SELECT note_id AS id, region AS scope_id, text FROM ({o.DUCK_NOTES})"
