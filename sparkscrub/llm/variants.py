@@ -13,7 +13,8 @@ also agree in one half of what the part leaves of them, so no list is paired as
 
 from __future__ import annotations
 
-import numpy as np
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,11 +93,11 @@ class Grams:
         An edit at letter e can change the gram that starts at p if it looks at e
         (p <= e < p + LONG), or if it starts after e and ends where a changed gram may end.
         """
-        change = np.zeros(size + 1, np.int64)
-        spans = np.array(grams)
-        np.add.at(change, np.maximum(spans[:, 1] - LONG, 0), 1)
-        np.add.at(change, np.minimum(spans[:, 0] + LONG, size), -1)
-        return int(np.cumsum(change).max())
+        change = [0] * (size + 1)
+        for start, end in grams:
+            change[max(end - LONG, 0)] += 1
+            change[min(start + LONG, size)] -= 1
+        return max(accumulate(change))
 
     def parts(self, word: str) -> list[tuple[str, str]]:
         """What a word is listed under, and the rest of it: for its rarest grams, what ends with
@@ -186,10 +187,12 @@ def _met(listed: DataFrame) -> DataFrame:
     """``a, n_a, b, n_b``: words of one list that are one edit apart."""
     listed = listed.withColumn("left", F.length("rest"))
     a, b = (listed.select("part", *(F.col(c).alias(f"{c}_{x}") for c in ("word", "n", "k", "left"))) for x in "ab")
-    # Of two words the shorter comes first, of equal length the smaller one.
-    more = F.length("word_b") - F.length("word_a")
+    # Of two words the shorter comes first, of equal length the smaller one. Each condition is
+    # on both sides, so that both are the same rows and are shuffled once.
+    more = F.col("left_b") - F.col("left_a")
     met = a.join(b, "part").where((more == 1) | ((more == 0) & (F.col("word_a") < F.col("word_b"))))
-    near = met.where("k_a < 0 OR left_a = k_a").where(F.levenshtein("word_a", "word_b", 1) == 1)
+    near = met.where("least(k_a, k_b) < 0 OR left_a = greatest(k_a, k_b)")
+    near = near.where(F.levenshtein("word_a", "word_b", 1) == 1)
     return near.select(F.col("word_a").alias("a"), "n_a", F.col("word_b").alias("b"), "n_b")
 
 
