@@ -21,6 +21,7 @@ from sparkscrub.operators import scrub as scrubbing
 from sparkscrub.operators.automaton import automaton_spans, automaton_values
 from sparkscrub.operators.detect import detect, explode_spans, select_spans
 from sparkscrub.operators.gazetteer import gazetteer_spans
+from sparkscrub.operators.incremental import current_rows, mask_load, rewritten_rows
 from sparkscrub.operators.matching import find_values
 from sparkscrub.operators.overlaps import mask_spans_of, resolve_spans
 from sparkscrub.operators.scopes import scope_keys, scrub_with_keys
@@ -560,6 +561,37 @@ def _scope_region(spark, sf_dir):
     return masked.select("note_id", "masked")
 
 
+def _two_loads(spark, sf_dir) -> str:
+    """Every third note comes in a second load."""
+    store = f"{scratch_dir(spark)}/loads-{uuid.uuid4().hex}"
+    rows = notes(spark, sf_dir).select("note_id", "region", "text")
+    first, second = rows.where("note_id % 3 > 0"), rows.where("note_id % 3 = 0")
+    mask_load(store, 0, first, None, ["region"], ["note_id"])
+    mask_load(store, 1, second, first, ["region"], ["note_id"])
+    return store
+
+
+@query("scrub_notes_in_two_loads", o.scoped(_REGIONS, o.PATTERN_TYPES, "note_id"))
+def _loads(spark, sf_dir):
+    return current_rows(spark, _two_loads(spark, sf_dir), 2, ["note_id"])
+
+
+@query(
+    "notes_masked_anew",
+    # Notes of the first load that hold a value which only the second one showed in their region.
+    o.with_(
+        o.spans(_REGIONS, o.PATTERN_TYPES)
+        + [
+            "shown AS MATERIALIZED (SELECT scope_id, value, bool_or(id % 3 > 0) AS known FROM spans JOIN src USING (id) "
+            "GROUP BY scope_id, value)"
+        ],
+        "SELECT DISTINCT id AS note_id FROM src JOIN shown USING (scope_id) WHERE id % 3 > 0 AND NOT known AND contains(text, value)",
+    ),
+)
+def _anew(spark, sf_dir):
+    return rewritten_rows(spark, _two_loads(spark, sf_dir), 1, ["note_id"])
+
+
 @query("scrub_scope_conversation", o.scoped(_TURNS, o.PATTERN_TYPES, "id"))
 def _scope_conversation(spark, sf_dir):
     masked = scrubbing.scrub(table(spark, sf_dir, "conversations"), scope=["conv_id"], key=["conv_id", "turn"])

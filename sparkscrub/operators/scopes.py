@@ -31,7 +31,7 @@ MAX_FOLDED_KEYS = 200
 _KEYS = "collect_list(struct(value, placeholder))"
 
 
-def _scope_sql(df: DataFrame, scope: list[str]) -> str:
+def scope_sql(df: DataFrame, scope: list[str]) -> str:
     """One text per scope, different for different values; a missing scope is a scope of its
     own, so its rows are masked too."""
     parts = []
@@ -47,6 +47,14 @@ def _scope_sql(df: DataFrame, scope: list[str]) -> str:
     return f"concat({', '.join(parts)})"
 
 
+def meeting_sql(value: str) -> str:
+    """SQL test for keys that may first match once a placeholder stands in the text: pieces of a
+    placeholder, or strings that hold its brackets next to its letters. The detectors find
+    none of these; a table of terms may list some."""
+    placed = ", ".join(literal(placeholder(t)) for t in RANKED_TYPES)
+    return f"exists(array({placed}), _p -> contains(_p, {value})) OR {value} RLIKE '<$|<[A-Z<]|^>|[A-Z>]>'"
+
+
 def scope_keys(
     df: DataFrame,
     scope: list[str],
@@ -99,8 +107,8 @@ def scrub_with_keys(
     """
     out = [*df.columns, output]
     text, kind = column(df, text), kind and column(df, kind)
-    parts = df.select("*", F.expr(_scope_sql(df, scope)).alias("_scope"))
-    keys = keys.select(F.expr(_scope_sql(keys, scope)).alias("_scope"), "value", "placeholder")
+    parts = df.select("*", F.expr(scope_sql(df, scope)).alias("_scope"))
+    keys = keys.select(F.expr(scope_sql(keys, scope)).alias("_scope"), "value", "placeholder")
     sizes = keys.groupBy("_scope").agg(F.count("*").alias("_n"))
     most = sizes.agg(F.max("_n")).first()[0] or 0
     has_large = most > max_folded_keys
@@ -142,7 +150,7 @@ def _mask_with_maps(parts, keys, hot_parts, key, text, kind, handlers, output) -
 def _mask_by_lookup(parts, keys, hot_parts, key, text, kind, handlers, output) -> DataFrame:
     """Give each part the keys that occur in it."""
     keys = materialize(keys, "large-scope-keys")
-    parts = parts.withColumn("_part", F.expr(_scope_sql(parts, key)))
+    parts = parts.withColumn("_part", F.expr(scope_sql(parts, key)))
     key = ["_part"]
     analysed = parts.select("_scope", *key, F.expr(analysed_sql(text, kind, handlers)).alias("_analysed"))
     found = find_values(analysed, keys, ["_scope"], key, "_analysed")
@@ -154,12 +162,7 @@ def _mask_by_lookup(parts, keys, hot_parts, key, text, kind, handlers, output) -
         found = salted_join(found, keys, on, hot_keys(found, on), key)
     per_part = found.groupBy("_scope", *key).agg(F.expr(_KEYS).alias("_found"))
 
-    # Keys that may first match once a placeholder stands in the text: pieces of a
-    # placeholder, or strings that hold its brackets next to its letters. The detectors
-    # find none of these; a table of terms may list some.
-    placed = ", ".join(literal(placeholder(t)) for t in RANKED_TYPES)
-    meets = f"exists(array({placed}), _p -> contains(_p, value)) OR value RLIKE '<$|<[A-Z<]|^>|[A-Z>]>'"
-    meeting = keys.where(meets).groupBy("_scope").agg(F.expr(_KEYS).alias("_meeting"))
+    meeting = keys.where(meeting_sql("value")).groupBy("_scope").agg(F.expr(_KEYS).alias("_meeting"))
     meeting = materialize(meeting, "meeting-keys")
     joined = parts.join(per_part, ["_scope", *key], "left")
     if meeting.isEmpty():
