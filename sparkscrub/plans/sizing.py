@@ -3,6 +3,7 @@ and where to keep a small table that several steps read."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,7 +28,8 @@ def scratch_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        # The executors of local-cluster are processes of their own.
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkscrub-"))
         folder = context.getCheckpointDir()
@@ -47,6 +49,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a stored table, wherever Spark keeps it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 # Tables that this program has stored: application, path.
 _stored: list[tuple[str, str]] = []
 
@@ -69,8 +77,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         made, rest = _stored[before:], []
         for owner, path in made:
             if owner == application:
-                place = spark._jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+                delete_table(spark, path)
             else:
                 rest.append((owner, path))
         _stored[before:] = rest
