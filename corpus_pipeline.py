@@ -6,45 +6,63 @@ one returns the encoded documents.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkscrub.llm.bpe import round_trip
-from sparkscrub.llm.common import materialize
 from sparkscrub.llm.decontaminate import without_contaminated
 from sparkscrub.llm.lines import without_repeated_lines
 from sparkscrub.llm.quality import rate_quality
 from sparkscrub.llm.simhash import without_near_copies
+from sparkscrub.plans.sizing import delete_table, scratch, scratch_dir
+
+# Rows of an Arrow batch. Buffers that an executor has taken for large batches stay with it, so
+# that stages one after the other would add up.
+BATCH_ROWS = 500
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _by_position(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A step over ``doc_id``, ``text`` and the other columns under names that nothing clashes with."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    names = {c: c if c in ("doc_id", "text") else f"c{n}" for n, c in enumerate(docs.columns)}
+    kept = step(docs.toDF(*names.values()))
+    return kept.select(*(F.col(names[c]).alias(c) for c in docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a base rule or the forest rejects go."""
-    # Names by position while they are rated, so that no column can clash.
-    others = {f"c{n}": c for n, c in enumerate(docs.columns) if c != "doc_id"}
-    own = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for n, c in others.items()))
-    kept = rate_quality(own, _table(spark, sf_dir, "labels"), keep=tuple(others)).where("kept")
-    back = {c: F.col(n).alias(c) for n, c in others.items()} | {"doc_id": F.col("doc_id")}
-    return kept.select(*(back[c] for c in docs.columns))
+    labels = _table(spark, sf_dir, "labels")
+
+    def step(rows):
+        others = ("c", *(c for c in rows.columns if c not in ("doc_id", "text")))
+        kept = rate_quality(rows.withColumn("c", F.col("text")), labels, keep=others).where("kept")
+        return kept.withColumnRenamed("c", "text")
+
+    return _by_position(docs, step)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go; every document stays, if need be without text."""
-    cut = without_repeated_lines(docs)
+    cut = _by_position(docs, without_repeated_lines)
     return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return without_near_copies(docs, shingle=4, radius=4)
+    return _by_position(docs, lambda rows: without_near_copies(rows, shingle=4, radius=4))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    return without_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+    benchmark = _table(spark, sf_dir, "benchmark")
+    return _by_position(docs, lambda rows: without_contaminated(rows, benchmark))
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +83,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each stage keeps is written before the next one reads it."""
-    docs = _table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what each stage keeps is written before the next one reads it.
+
+    What a stage stored on its way is deleted once its output is written, and its input
+    once nothing reads it any more; the last stage's input stays.
+    """
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = f"{scratch_dir(spark)}/sparkscrub/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        if before:
+            delete_table(spark, before)
+        docs, before = spark.read.schema(kept.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
