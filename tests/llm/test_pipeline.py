@@ -1,11 +1,16 @@
 """The registered queries and the pipeline against plain models at the smallest scale."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from sparkscrub.llm import bpe, licenses, pii, quality
+from sparkscrub.llm.common import materialize
+from sparkscrub.plans import sizing
 
 from . import models
 from .models import by_key, sha
@@ -84,13 +89,46 @@ def test_quality_rules_with_columns_of_their_names(spark):
     assert all(r[-5:] == ("a", r[0], "b", 1, 2) for r in found)
 
 
+def test_stages_with_any_columns(spark):
+    """Extra columns have any names and are handed on by all stages but the last."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["_k", "_id", "_key", "_text", "_lines", "_gone", "_kept", "_removed", "fp", "component", "k", "x.y", "c0", "kept"]
+    more = documents
+    for name in names:
+        more = more.withColumn(name, F.col("doc_id"))
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        got = materialize(function(spark, more, SF), "test")
+        assert got.columns == more.columns and got.count() > 100
+        assert got.where(" OR ".join(f"NOT doc_id <=> `{n}`" for n in names)).isEmpty()
+    name, function = corpus_pipeline.STAGES[-1]
+    assert function(spark, more, SF).count() == documents.count()
+
+
+def test_stages_with_nulls_and_repeated_keys(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = documents.limit(6).selectExpr("IF(doc_id % 2 = 0, NULL, 3) AS doc_id", "IF(doc_id % 3 = 0, NULL, text) AS text", "lang", "source", "n_chars")
+    odd = materialize(odd.union(odd).unionByName(documents.limit(2).withColumn("text", F.lit(""))), "odd")
+    for _, function in corpus_pipeline.STAGES:
+        assert function(spark, odd, SF).count() <= odd.count()
+        assert function(spark, odd.limit(0), SF).count() == 0
+    assert corpus_pipeline.byte_level_bpe(spark, odd, SF).count() == odd.count()
+
+
+def test_pipeline_deletes_what_it_stored(spark):
+    before = set(map(str, Path(sizing.scratch_dir(spark).removeprefix("file:")).glob("sparkscrub/*")))
+    result = corpus_pipeline.run(spark, SF)
+    after = set(map(str, Path(sizing.scratch_dir(spark).removeprefix("file:")).glob("sparkscrub/*")))
+    # Only the input of the last stage is still read.
+    assert len(after - before) == 1 and result.count() > 0
+
+
 def test_pipeline(spark, docs, items):
     """Each stage against a plain model of it, on what the one before kept."""
     names, functions = zip(*corpus_pipeline.STAGES)
     documents = spark.read.parquet(f"{SF}/documents.parquet")
     now, state = documents, {k: t for k, t in docs}
     for name, function in zip(names, functions):
-        now = corpus_pipeline.materialize(function(spark, now, SF), "test")
+        now = materialize(function(spark, now, SF), "test")
         found = {r.doc_id: r for r in now.collect()}
         if name == "quality rules":
             rated = quality.rate_quality(documents, spark.read.parquet(f"{SF}/labels.parquet")).collect()
