@@ -61,6 +61,33 @@ _DEA = (
 )
 
 
+_B58, _B32 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+# The number in base 58 as 50 hex digits: bytes, the smallest first, with a carry.
+_B58_BYTES = (
+    f"list_reduce(list_prepend(list_resize([0::BIGINT], 25, 0), list_transform(string_split(value, ''), "
+    f"lambda c: [CAST(instr('{_B58}', c) - 1 AS BIGINT)])), lambda n, d: list_reduce(list_prepend([d[1]], "
+    "list_transform(n, lambda x: [x])), lambda a, x: list_concat(list_concat([(x[1] * 58 + a[1]) // 256], a[2:]), [(x[1] * 58 + a[1]) % 256]))[2:])"
+)
+_HEX50 = f"list_aggregate(list_transform(list_reverse({_B58_BYTES}), lambda b: lower(lpad(to_hex(b), 2, '0'))), 'string_agg', '')"
+_BASE58CHECK = (
+    f"list_bool_and(list_transform([{_HEX50}], lambda h: length(h) = 50 AND right(h, 8) = "
+    "left(sha256(unhex(sha256(unhex(left(h, 42))))), 8) "
+    "AND length(regexp_extract(h, '^(?:00)*')) = 2 * length(regexp_extract(value, '^1*'))))"
+)
+_B32_LIST = f"list_transform(string_split(substr(value, 4), ''), lambda c: CAST(instr('{_B32}', c) - 1 AS BIGINT))"
+_B32_SUM = (
+    f"list_reduce(list_concat([1::BIGINT, 3, 3, 0, 2, 3], {_B32_LIST}), lambda k, v: list_reduce(list_concat("
+    "[xor(((k & 33554431) << 5), v)], list_transform(range(5), lambda i: CASE WHEN ((k >> 25) >> i) & 1 = 1 THEN "
+    "[996825010, 642813549, 513874426, 1027748829, 705979059][i + 1] ELSE 0 END)), lambda a, b: xor(a, b)))"
+)
+_B32_BITS = "(length(value) - 10) * 5"
+_BECH32_CHECK = (
+    f"CASE WHEN value[4] = 'q' THEN {_B32_BITS} // 8 IN (20, 32) AND {_B32_SUM} = 1 "
+    f"ELSE instr('{_B32}', value[4]) <= 17 AND {_B32_BITS} // 8 BETWEEN 2 AND 40 AND {_B32_SUM} = 734539939 END "
+    f"AND {_B32_BITS} % 8 < 5 AND (instr('{_B32}', value[-7]) - 1) % (1 << ({_B32_BITS} % 8)) = 0"
+)
+
+
 def _checked(shape: str, check: str) -> str:
     return f"CASE WHEN {shape} THEN {check} ELSE false END"
 
@@ -68,7 +95,16 @@ def _checked(shape: str, check: str) -> str:
 RULES = [
     ("token", "IBAN_CODE", _checked(_full("[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"), _MOD97)),
     ("token", "CREDIT_CARD", _checked(_full("[0-9]{12,19}"), _LUHN)),
-    ("token", "CRYPTO", _full("[13][1-9A-HJ-NP-Za-km-z]{25,34}|bc1[02-9ac-hj-np-z]{11,71}")),
+    (
+        "token",
+        "CRYPTO",
+        _checked(
+            _full("[13][1-9A-HJ-NP-Za-km-z]{25,34}"),
+            _BASE58CHECK,
+        )
+        + " OR "
+        + _checked(_full("bc1[02-9ac-hj-np-z]{11,71}"), _BECH32_CHECK),
+    ),
     ("token", "MEDICAL_LICENSE", _checked(_full("[A-Za-z]{2}[0-9]{7}"), _DEA)),
     ("token", "US_ITIN", _full("9[0-9]{8}")),
     ("token", "US_PASSPORT", _full("[A-Za-z0-9][0-9]{8}")),
@@ -122,7 +158,7 @@ NOTES = """SELECT o_orderkey AS note_id, o_custkey AS cust_id, r_name AS region,
   WHEN 2 THEN concat('From 10.', cast(c_custkey % 300 AS string), '.0.', cast(o_orderkey % 256 AS string))
   WHEN 3 THEN 'Card 4111 1111 1111 1111, not 4111111111111112'
   WHEN 4 THEN 'IBAN GB82WEST12345698765432, not GB83WEST12345698765432'
-  WHEN 5 THEN 'Wallet 1BoatSLRHtKNngkdXEeobR76b53LETtpyT'
+  WHEN 5 THEN 'Wallet 1BoatSLRHtKNngkdXEeobR76b53LETtpyT, not 1BoatSLRHtKNngkdXEeobR76b53LETtpyU'
   WHEN 6 THEN 'DEA AB1234563, not AB1234564'
   WHEN 7 THEN concat('Account ', cast(10000000000 + o_orderkey AS string))
   WHEN 8 THEN concat('Driver license D', cast(1000000 + c_custkey AS string))

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field, replace
 
 from sparkscrub.catalog import DICTIONARY_TYPES, RANK
 from sparkscrub.functions.sqltext import let, matches_any, name, raw
+from sparkscrub.functions.wallets import wallet_sql
 
 # The patterns of the candidates.
 # All start at the left edge of a run, so that no run is scanned again from its inside.
@@ -214,7 +215,7 @@ FAMILIES = (
             Rule(
                 "CRYPTO",
                 "[13][A-Za-z0-9]{25}|bc1[a-z0-9]{11}",
-                _whole("[13][1-9A-HJ-NP-Za-km-z]{25,34}|bc1[02-9ac-hj-np-z]{11,71}"),
+                wallet_sql,
             ),
             Rule("MEDICAL_LICENSE", DIGITS, _whole("[A-Za-z]{2}[0-9]{7}", _dea)),
             Rule("US_ITIN", DIGITS, _whole("9[0-9]{8}")),
