@@ -648,6 +648,20 @@ def _fragments(spark, sf_dir):
     return found.select("doc_id", "fragment_no", "masked")
 
 
+@query(
+    "mask_fragments_across",
+    # Notes cut into pieces of 17 characters, in the middle of values: together they are the masked note.
+    o.scrubbed(o.NOTE_TEXTS, o.PATTERN_TYPES, "note_id", ", CAST(1 + length(text) // 17 AS BIGINT) AS n_fragments"),
+)
+def _fragments_across(spark, sf_dir):
+    cut = F.regexp_replace("text", "(?s)(.{17})", "$1|")
+    rows = notes(spark, sf_dir).select("note_id", cut.alias("text"))
+    found = scrubbing.mask_fragments(rows, separator="|", across=True)
+    pieces = F.array_sort(F.collect_list(F.struct("fragment_no", "masked")))
+    per_note = found.groupBy("note_id").agg(pieces.alias("pieces"), F.count("*").alias("n_fragments"))
+    return per_note.select("note_id", F.array_join("pieces.masked", "").alias("masked"), "n_fragments")
+
+
 # --- pages ------------------------------------------------------------------------------
 
 _TOKENS = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|[^<]+|<"

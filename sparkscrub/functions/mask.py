@@ -26,6 +26,21 @@ def replace_sql(text: str, keys: str) -> str:
     return f"aggregate({keys}, {text}, ({acc}, {k}) -> replace({acc}, {k}.value, {k}.placeholder))"
 
 
+def replace_across_sql(text: str, keys: str, separator: str) -> str:
+    """As ``replace_sql`` on the text without its separators; these stay, also those within a value,
+    which then follow its placeholder."""
+    acc, k, c, i = (name(v) for v in "akci")
+    gap = "(?:" + "".join(f"\\\\x{{{ord(ch):x}}}" for ch in separator) + ")*"
+    letters = f"regexp_extract_all({k}.value, r'(?s).', 0)"
+    quoted = f"transform({letters}, {c} -> regexp_replace({c}, r'([^\\p{{L}}\\p{{N}}])', r'\\\\$1'))"
+    pattern = f"array_join({quoted}, '({gap})')"
+    # Each gap is a group; all of them are put back.
+    gaps = f"array_join(transform(filter(sequence(0, length({k}.value) - 1), {i} -> {i} > 0), {i} -> concat('$', {i})), '')"
+    put = f"concat(regexp_replace({k}.placeholder, r'([\\\\$])', r'\\\\$1'), {gaps})"
+    step = f"IF(contains({acc}, {literal(separator)}), regexp_replace({acc}, {pattern}, {put}), replace({acc}, {k}.value, {k}.placeholder))"
+    return f"aggregate({keys}, {text}, ({acc}, {k}) -> {step})"
+
+
 def mask_text_sql(text: str, entities: Iterable[str] | None = None, terms: dict | None = None) -> str:
     """Detect, map and mask within one text."""
     return let(text, lambda t: replace_sql(t, keys_sql(t, entities, terms)), "t")

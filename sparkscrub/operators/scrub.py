@@ -8,11 +8,11 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkscrub.catalog import DICTIONARY_TYPES
+from sparkscrub.catalog import DICTIONARY_TYPES, RANKED_TYPES, placeholder
 from sparkscrub.functions.html import mask_html_sql
-from sparkscrub.functions.mask import mask_spans_sql, replace_sql
+from sparkscrub.functions.mask import mask_spans_sql, replace_across_sql, replace_sql
 from sparkscrub.functions.spans import keys_sql, resolve_overlaps_sql, spans_sql
-from sparkscrub.functions.sqltext import column, let
+from sparkscrub.functions.sqltext import column, let, literal
 from sparkscrub.operators.scopes import (
     MAX_FOLDED_KEYS,
     scope_keys,
@@ -104,17 +104,30 @@ def mask_fragments(
     entities: Iterable[str] | None = None,
     terms: dict | None = None,
     output: str = "masked",
+    across: bool = False,
 ) -> DataFrame:
     """One row per fragment of each text: detected on the whole text, masked one by one.
 
-    A value that runs over two fragments is not masked. For fragments that are rows
-    already, use ``scrub`` with the document as scope.
+    A value that runs over two fragments is not masked, unless ``across`` is set: then the
+    text is read as if the separators were not there, and a value that runs over several
+    fragments is masked in the first of them and cut out of the others. Put together, the
+    fragments are the masked text. For fragments that are rows already, use ``scrub`` with
+    the document as scope.
     """
     require_terms(entities, terms)
+    if across and (not separator or any(separator in placeholder(t) for t in RANKED_TYPES)):
+        raise ValueError("a separator that stands in placeholders, or an empty one, cannot be looked across")
     name, text = text, column(df, text)
     pieces = f"split({{t}}, {_pattern_of(separator)}, -1)"
 
     def body(t: str) -> str:
+        if across:
+            whole = f"replace({t}, {literal(separator)}, '')"
+            masked = let(keys_sql(whole, entities, terms), lambda k: replace_across_sql(t, k, separator), "k")
+            return (
+                f"zip_with({pieces.replace('{t}', t)}, {pieces.replace('{t}', masked)}, "
+                f"(_f, _m) -> struct(_f AS fragment, _m AS {output}))"
+            )
         return let(
             keys_sql(t, entities, terms),
             lambda k: f"transform({pieces.replace('{t}', t)}, _f -> "

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -158,3 +159,34 @@ def test_row_scope_plan(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Python" not in text
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text and "GreaterThan(doc_id,5)" in text
+
+
+@pytest.mark.parametrize("separator", ["\n", "|", "$.", "\\"])
+def test_fragments_across(spark, separator):
+    """Put together, fragments are the masked text, wherever it is cut."""
+    pick = random.Random(7)
+    whole = ["mail a.b@c.org or 1.2.3.4 (a.b@c.org)", "1.2.3.4", "", "+1 (212) 555-0100, b@c.org$1 x", "none", "é😀 1.2.3.4😀"]
+    rows = []
+    for i in range(60):
+        text, at = pick.choice(whole), 0
+        cut = sorted(pick.choices(range(len(text) + 1), k=pick.randint(0, 5)))
+        pieces = [text[a:b] for a, b in zip([0, *cut], [*cut, len(text)])]
+        rows.append((i, text, separator.join(pieces), len(pieces)))
+    df = spark.createDataFrame([*rows, (90, None, None, 0)], "id int, whole string, text string, n int")
+    chosen = ["EMAIL_ADDRESS", "IP_ADDRESS", "PHONE_NUMBER"]
+    want = {r.id: r.masked for r in scrub(df.drop("text"), "whole", entities=chosen).collect()}
+    got = mask_fragments(df, separator=separator, entities=chosen, across=True).orderBy("id", "fragment_no").collect()
+    together = {}
+    for r in got:
+        if r.fragment_no is not None:
+            together.setdefault(r.id, []).append((r.fragment, r.masked))
+    for i, text, cut, n in rows:
+        assert len(together[i]) == n and separator.join(f for f, _ in together[i]) == cut
+        assert "".join(m for _, m in together[i]) == want[i]
+
+
+def test_fragments_across_need_a_separator(spark):
+    df = spark.createDataFrame([("a",)], "text string")
+    for separator in ("", "E", "<"):
+        with pytest.raises(ValueError):
+            mask_fragments(df, separator=separator, entities=["URL"], across=True)
