@@ -30,7 +30,7 @@ from sparkscrub.plans.expand import expand
 from sparkscrub.plans.handlers import Handler
 from sparkscrub.plans.shipping import ship_package
 from sparkscrub.plans.sizing import materialize, scratch_dir
-from sparkscrub.sources import mailbox
+from sparkscrub.sources import mailbox, mbox
 from sparkscrub.sources.tables import read_texts, text_parts, write_masked
 from sparkscrub.streaming.jobs import read_text_stream, scrub_stream, write_masked_stream
 from sparkscrub.streaming.scopes import scrub_scope_stream
@@ -784,6 +784,34 @@ def _mailbox(spark, sf_dir):
     )
 
 
+def _mbox_folder(spark, sf_dir) -> str:
+    """The messages as mailboxes, the names in the lines before them."""
+    folder = f"{scratch_dir(spark)}/mbox-{uuid.uuid4().hex}"
+    raw = messages_data.raw_messages(notes(spark, sf_dir))
+    mbox.write_mbox(raw.repartition(3, "path"), folder, "path")
+    return folder
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return mailbox.parse_messages(rows.select(F.col("envelope").alias("path"), "content"))
+
+
+@query("mbox_messages", messages_data.MESSAGES_SQL)
+def _mbox(spark, sf_dir):
+    return _named(mbox.read_mbox(spark, _mbox_folder(spark, sf_dir))).select(
+        "path", "status", F.size("headers").alias("n_headers"), F.size("parts").alias("n_parts")
+    )
+
+
+@query("mbox_stream_headers", messages_data.HEADERS_SQL)
+def _mbox_stream(spark, sf_dir):
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    read = _named(mbox.read_mbox(spark, _mbox_folder(spark, sf_dir), stream=True))
+    found = mailbox.message_headers(read)
+    write_masked_stream(found, f"{base}/out", f"{base}/log", keep=found.columns, available_now=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 @query("mailbox_headers", messages_data.HEADERS_SQL)
 def _headers(spark, sf_dir):
     return mailbox.message_headers(_messages(spark, sf_dir))
