@@ -341,7 +341,8 @@ BLOCK = 256
 
 
 def _in_blocks(rows: str, start: str, step: str, acc: str, x: str) -> str:
-    """Fold the gaps and matches of a text into spans, block by block, each from its own first position."""
+    """Fold the gaps and matches of a text into spans: few at once, many block by block, each from
+    its own first position."""
     b, t, o, y = (name(c) for c in "btoy")
     blocks = f"sequence(0, greatest(0, size({rows}) - 1) div {BLOCK})"
 
@@ -355,7 +356,8 @@ def _in_blocks(rows: str, start: str, step: str, acc: str, x: str) -> str:
         first = start.replace("{pos}", f"{offset}[cast({b} AS int)]")
         return f"flatten(transform({blocks}, {b} -> aggregate({part(b)}, {first}, ({acc}, {x}) -> {step}).out))"
 
-    return let(offsets, spans, "f")
+    few = f"aggregate({rows}, {start.replace('{pos}', '0')}, ({acc}, {x}) -> {step}).out"
+    return f"CASE WHEN size({rows}) <= {BLOCK} THEN {few} ELSE {let(offsets, spans, 'f')} END"
 
 
 def family_spans(family: Family, text: str) -> str:

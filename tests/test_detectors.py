@@ -159,3 +159,13 @@ def test_named_types_need_terms(spark):
     with pytest.warns(UserWarning):
         scrub(df, "my text")
     assert scrub(df, "my text", terms={"PERSON": ["Ann"]}).first()["masked"] == "<PERSON> Lee"
+
+
+def test_few_and_many_hits_of_one_text(spark):
+    """At once or in blocks, every hit is found at its place."""
+    for n in (0, 1, 255, 256, 257, 600):
+        parts = [f"{'é' * (i % 3)} 10.{i % 256}.0.{i % 7}, 10.{i}.0.999" for i in range(n)]
+        text = "; ".join(parts)
+        spans = detect(spark.createDataFrame([(text,)], "text string"), entities=["IP_ADDRESS"]).first()["spans"]
+        assert [text[s["start"] : s["end"]] for s in spans] == [s["value"] for s in spans]
+        assert [s["value"] for s in spans] == [f"10.{i % 256}.0.{i % 7}" for i in range(n)]
