@@ -25,12 +25,14 @@ from sparkscrub.operators.incremental import current_rows, mask_load, rewritten_
 from sparkscrub.operators.matching import find_values
 from sparkscrub.operators.overlaps import mask_spans_of, resolve_spans
 from sparkscrub.operators.scopes import scope_keys, scrub_with_keys
+from sparkscrub.operators.sketches import entity_sketches, sketch_report
 from sparkscrub.plans import providers
 from sparkscrub.plans.expand import expand
 from sparkscrub.plans.handlers import Handler
 from sparkscrub.plans.shipping import ship_package
 from sparkscrub.plans.sizing import materialize, scratch_dir
 from sparkscrub.sources import mailbox, mbox
+from sparkscrub.sources.skipping import index_files, read_holding
 from sparkscrub.sources.tables import read_texts, text_parts, write_masked
 from sparkscrub.streaming.jobs import read_text_stream, scrub_stream, write_masked_stream
 from sparkscrub.streaming.scopes import scrub_scope_stream
@@ -189,6 +191,19 @@ def _scrub_scope_stream(spark, sf_dir):
     return spark.read.parquet(f"{base}/out")
 
 
+@query(
+    "detect_with_skipping_index",
+    o.with_(o.spans(o.DOCUMENTS, ["CREDIT_CARD", "IP_ADDRESS"]), f"SELECT id AS doc_id, {SPAN_COLUMNS} FROM spans"),
+)
+def _skipping(spark, sf_dir):
+    """The documents in many files; only those are read again that the index names."""
+    folder = f"{scratch_dir(spark)}/indexed-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select("doc_id", "text").repartitionByRange(40, "doc_id").write.parquet(folder)
+    index = materialize(index_files(spark.read.parquet(folder)), "file-index")
+    chosen = ["CREDIT_CARD", "IP_ADDRESS"]
+    return explode_spans(detect(read_holding(spark, folder, index, chosen), entities=chosen)).drop("text")
+
+
 # --- catalogue and selection --------------------------------------------------------
 
 
@@ -1023,6 +1038,25 @@ def _entities(spark, sf_dir):
     return reports.entity_report(found).drop("description")
 
 
+@query(
+    "entity_report_of_sketches",
+    # The estimate is checked against the exact number: three standard errors hold.
+    o.with_(
+        o.spans(o.NOTE_TEXTS, o.PATTERN_TYPES),
+        "SELECT entity_type, count(*) AS hits, count(DISTINCT id) AS texts, count(DISTINCT value) AS distinct_values, "
+        "true AS estimate_holds FROM spans GROUP BY entity_type",
+    ),
+)
+def _sketches(spark, sf_dir):
+    """One row per region and type is stored, and all regions are put together."""
+    found = detect(notes(spark, sf_dir))
+    stored = materialize(entity_sketches(found, ["region"]), "sketches")
+    exact = reports.entity_report(explode_spans(found)).select("entity_type", F.col("distinct_values").alias("exact"))
+    report = sketch_report(stored).join(F.broadcast(exact), "entity_type")
+    holds = F.col("exact").between(F.col("low"), F.col("high")).alias("estimate_holds")
+    return report.select("entity_type", "hits", "texts", F.col("exact").alias("distinct_values"), holds)
+
+
 @query(
     "scope_report",
     o.with_(
