@@ -16,6 +16,7 @@ from sparkscrub.catalog import entity_catalog, placeholder
 from sparkscrub.functions import html as html_functions
 from sparkscrub.functions import mask, spans
 from sparkscrub.functions.sqlfunctions import register_functions
+from sparkscrub.functions.tablefunctions import register_scope_function
 from sparkscrub.operators import messages, reports
 from sparkscrub.operators import scrub as scrubbing
 from sparkscrub.operators.automaton import automaton_spans, automaton_values
@@ -1137,6 +1138,16 @@ def _provider_scope(spark, sf_dir):
     return masked.select("note_id", "masked")
 
 
+@query("scope_table_function", SQL["provider_plug_in_customer_scope"])
+def _table_function(spark, sf_dir):
+    ship_package(spark, checks)
+    register_scope_function(spark, _load_marker, "scrub_customer")
+    rows = notes(spark, sf_dir).select("note_id", "cust_id", "text")
+    return spark.sql(
+        "SELECT note_id, masked FROM scrub_customer(TABLE(SELECT * FROM {rows}) PARTITION BY (cust_id), 'text')", rows=rows
+    )
+
+
 @query(
     "handler_plug_in",
     # Parts of kind 'upper' are masked and shouted; other kinds as usual.
