@@ -3,7 +3,10 @@
 A page becomes a tree of blocks; inline elements count as tags of their block. Each
 block's density is its characters per tag, scaled down where its text is mostly links.
 The block whose children's densities add up to the most holds the article. The lowest
-density on its path up to the body is the threshold for further parts of the page.
+density on its path up to the body is the threshold for further parts of the page. What
+stands with that block in one article or main element belongs to it, be it a title, a short
+section or a byline; without such an element, what stands around it without noise or lists
+of links does.
 """
 
 from __future__ import annotations
@@ -271,6 +274,35 @@ class Page:
                 total[p] += density[i]
         return density, total
 
+    def _around(self, best: int) -> int:
+        """The block around ``best`` that is the article as a whole."""
+        path = [best]
+        while path[-1] > 0:
+            path.append(self.parent[path[-1]])
+        for name in ("article", "main"):
+            for i in path:
+                if self.cores.get(i) == name:
+                    return i
+        n = len(self.parent)
+        chars, links, noisy = list(self.chars), list(self.link_chars), list(self.noise)
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            noisy[p] = noisy[p] or noisy[i]
+            if not self.noise[i]:
+                chars[p] += chars[i]
+                links[p] += links[i]
+        # The other children of a block: noise in them, characters, link characters.
+        troubled = [0] * n
+        for i in range(1, n):
+            troubled[self.parent[i]] += noisy[i]
+        own = best
+        for p in path[1:]:
+            more, linked = chars[p] - chars[own], links[p] - links[own]
+            if p == 0 or troubled[p] > noisy[own] or 3 * linked > more:
+                break
+            own = p
+        return own
+
     def article(self) -> str:
         density, total = self.densities()
         n = len(self.parent)
@@ -291,6 +323,7 @@ class Page:
         for i in range(n):
             if not self.noise[i] and density[i] >= threshold and density[i] > 0:
                 chosen[inside[i]] = True
+        chosen[self._around(best)] = True
         for i in range(1, n):
             chosen[i] = not self.noise[i] and (chosen[i] or chosen[self.parent[i]])
         return " ".join(text for i, text in self.texts if chosen[i])

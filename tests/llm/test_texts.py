@@ -4,7 +4,7 @@ import time
 import numpy as np
 import pytest
 
-from sparkscrub.llm import licenses, pii, quality
+from sparkscrub.llm import article, licenses, pii, quality
 from sparkscrub.llm.article import article_text, extract_articles
 
 from . import models
@@ -282,3 +282,42 @@ def test_article_rows(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert by_key(got.collect()) == by_key([(1, "u", TEXT, len(TEXT))] * 2 + [(2, None, "", 0), (None, "v", "", 0)])
     assert extract_articles(df.limit(0)).collect() == []
+
+
+_LONG = "long text of the story goes on here. " * 20
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><h1>Title</h1><div><h2>One</h2><p>{}</p></div><div><h2>Two</h2><p>Short end.</p></div><p>By Ann.</p></article>",
+        "<nav>menu</nav><main><h1>Title</h1><div><h2>One</h2><p>{}</p></div><section><h2>Two</h2><p>Short end.</p></section><p>By Ann.</p></main>",
+        "<body><div id=content><div><h1>Title</h1><div><h2>One</h2><p>{}</p></div><div><h2>Two</h2><p>Short end.</p></div>"
+        "<p>By Ann.</p></div></div><footer>foot <a href=x>y</a></footer></body>",
+    ],
+)
+def test_whole_articles(page):
+    """Titles, short sections and bylines around the densest block stay."""
+    text = article.article_text(page.format(_LONG))
+    assert text == f"Title One {_LONG.strip()} Two Short end. By Ann."
+
+
+def test_lists_of_links_and_noise_do_not_join_the_article():
+    links = "".join(f"<li><a href='/{i}'>Other story {i}</a></li>" for i in range(9))
+    page = f"<body><div><h2>One</h2><p>{_LONG}</p></div><ul>{links}</ul><div class=sidebar>aside</div></body>"
+    assert article.article_text(page) == f"One {_LONG.strip()}"
+
+
+def test_no_text_of_the_given_pages_is_lost(spark):
+    """Every text outside noise that stands in the page's article is in the result."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()
+    for (html,) in pages:
+        page = article.Page(html or "")
+        cores = [i for i in page.cores if not page.noise[i]]
+        text = page.article()
+        for i, own in page.texts:
+            above = i
+            while above > 0 and above not in cores:
+                above = page.parent[above]
+            if above in cores and not page.noise[i] and len(cores) == 1:
+                assert own in text
