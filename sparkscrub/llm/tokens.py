@@ -3,11 +3,14 @@
 A text is normalised and split as the vocabulary file says. The distinct pieces of a
 batch lie one after the other in a flat array of symbol ids. In each round every piece
 finds its pair of neighbours of lowest rank, and all pieces merge theirs at once. A
-piece without a known pair is finished; the symbols that are left are its tokens.
+piece without a known pair is finished; the symbols that are left are its tokens. A piece
+of very many symbols would need as many rounds: it merges the same pairs in the same order
+from a heap, each pair when its turn comes.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from functools import lru_cache
@@ -22,6 +25,8 @@ from sparkscrub.llm.common import map_texts
 REMEMBERED = 500_000
 # Long texts are normalised whole and split in parts that end at white space.
 PART = 1 << 20
+# A piece of more symbols is merged from a heap.
+LONG_PIECE = 2_000
 # Symbols in one round of merging, so that arrays stay small.
 ROUND_BYTES = 1 << 20
 
@@ -59,9 +64,52 @@ class RankMerger:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.results = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        self.table: dict[int, tuple[int, int]] = {}
+
+    def count_long(self, piece: bytes) -> int:
+        """Tokens of one long piece, in time n log n."""
+        if not self.table:
+            self.table = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.results.tolist())))
+        table, size = self.table, self.size
+        symbols = self.inner[np.frombuffer(piece, np.uint8)].tolist()
+        symbols[-1] = int(self.last[piece[-1]])
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # (rank, place, pair): a pair that is no longer there when its turn comes is passed over.
+        heap = []
+        for i in range(n - 1):
+            key = symbols[i] * size + symbols[i + 1]
+            if key in table:
+                heap.append((table[key][0], i, key))
+        heapq.heapify(heap)
+        left = n
+        while heap:
+            _, i, key = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or symbols[i] < 0 or symbols[i] * size + symbols[j] != key:
+                continue
+            symbols[i], symbols[j] = table[key][1], -1
+            left -= 1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b < n:
+                    made = symbols[a] * size + symbols[b]
+                    if made in table:
+                        heapq.heappush(heap, (table[made][0], a, made))
+        return left
 
     def counts(self, pieces: list[bytes]) -> np.ndarray:
         """Tokens of each piece (none is empty)."""
+        long = [i for i, p in enumerate(pieces) if len(p) > LONG_PIECE]
+        if long:
+            out = np.ones(len(pieces), np.int64)
+            short = [i for i, p in enumerate(pieces) if len(p) <= LONG_PIECE]
+            out[long] = [self.count_long(pieces[i]) for i in long]
+            if short:
+                out[short] = self.counts([pieces[i] for i in short])
+            return out
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         symbols = self.inner[flat]

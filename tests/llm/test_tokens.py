@@ -1,10 +1,13 @@
+import hashlib
 import random
+import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sparkscrub.llm import bpe
+from sparkscrub.llm import bpe, queries
 from sparkscrub.llm.tokens import count_tokens, counter
 
 from .models import sha
@@ -74,3 +77,43 @@ def test_round_trip_rows(spark):
     back = bpe.decode_ids(ids).collect()
     assert sorted((str(r.doc_id), bytes(r.decoded)) for r in back) == sorted((str(k), (t or "").encode()) for k, t in rows)
     assert bpe.round_trip(df.limit(0), with_ids=True).collect() == []
+
+
+def test_long_words_take_seconds():
+    """A word of any length, merged from a heap as in rounds."""
+    pick = random.Random(8)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["".join(pick.choice("abcdefghij") for _ in range(n)) for n in (1999, 2000, 2001, 30_000)]
+    words += ["a" * 20_001, "ab" * 9000, "the" * 4000, "é😀" * 3000, " ".join(["x" * 2500, "y", "xyz" * 900])]
+    start = time.time()
+    expected = [len(e.ids) for e in library.encode_batch(words, add_special_tokens=False)]
+    assert counter(None).count(words) == expected
+    million = "".join(pick.choice("abcdefghijklmnop") for _ in range(1_000_000))
+    assert counter(None).count([million]) == [len(library.encode(million, add_special_tokens=False).ids)]
+    assert time.time() - start < 60
+
+
+def test_heap_and_rounds_agree():
+    pick, merger = random.Random(9), counter(None).merger
+    pieces = ["".join(pick.choice("abcaé") for _ in range(pick.randint(1, 300))).encode() for _ in range(300)]
+    assert [merger.count_long(p) for p in pieces] == merger.counts(pieces).tolist()
+
+
+def test_query_counts_like_the_library(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: tuple(r)[1:] for r in queries.QUERIES["op1_token_counts"](spark, sf).collect()}
+    for key, text in docs:
+        n = len(library.encode(text or "", add_special_tokens=False).ids)
+        assert got[key] == (len((text or "").encode()), n, n > 2048)
+
+
+def test_byte_bpe_query_gives_the_ids_of_the_library(spark):
+    sf, own = "/root/testdata/sf0.001", bpe.codec(None, None).encoding
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: tuple(r)[1:] for r in queries.QUERIES["op4_byte_bpe"](spark, sf).collect()}
+    for key, text in docs:
+        ids = own.encode_ordinary(text or "")
+        packed = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[key] == (len(ids), packed, sha(text or ""))
