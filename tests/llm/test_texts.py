@@ -185,6 +185,21 @@ def test_forest_on_held_out_rows(spark):
     assert all(got[1000 + i].kept for i, _, q in test if q)
 
 
+def test_contradictory_labels_say_nothing(spark):
+    """Whatever the order of rows, keys that are labelled good and bad are left out."""
+    train = made_texts(5, 300)
+    sure = [(i, q, 0) for i, _, q in train]
+    torn = [(i, 1 - q, 0) for i, q, _ in sure[:100]]
+    docs = frame(spark, [(i, t) for i, t, _ in train])
+
+    def scores(rows):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+        return sorted((r.doc_id, r.score) for r in quality.rate_quality(docs, labels).collect())
+
+    expected = scores(sure[100:])
+    assert scores(sure + torn) == scores(torn + sure[::-1] + sure) == expected
+
+
 def test_quality_rows(spark):
     good = " ".join(f"w{i}" for i in range(60))
     rows = [(1, None), (2, ""), (3, good), (3, good), (None, good), (4, "a b c " * 30), (5, "a " * 49)]
