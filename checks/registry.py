@@ -19,6 +19,7 @@ from sparkscrub.functions.sqlfunctions import register_functions
 from sparkscrub.functions.tablefunctions import register_scope_function
 from sparkscrub.operators import messages, reports
 from sparkscrub.operators import scrub as scrubbing
+from sparkscrub.operators.ambiguous import typed_spans
 from sparkscrub.operators.automaton import automaton_spans, automaton_values
 from sparkscrub.operators.detect import detect, explode_spans, select_spans
 from sparkscrub.operators.gazetteer import gazetteer_spans
@@ -340,6 +341,19 @@ def _automaton(spark, sf_dir):
     return automaton_spans(notes(spark, sf_dir), terms(spark, sf_dir), "text", ["note_id"])
 
 
+@query(
+    "typed_spans_in_notes",
+    # Every third nation may be a person, too; where it stands says that it is none.
+    o.with_(
+        [f"src AS ({o.NOTE_TEXTS})", *o.term_spans()], f"SELECT id AS note_id, {SPAN_COLUMNS} FROM spans"
+    ),
+)
+def _typed(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0")
+    people = nations.select(F.col("n_name").alias("term"), F.lit("PERSON").alias("entity_type"))
+    return typed_spans(notes(spark, sf_dir), terms(spark, sf_dir).union(people), "text", ["note_id"])
+
+
 # --- spans and maps -------------------------------------------------------------------
 
 
