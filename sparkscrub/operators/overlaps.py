@@ -63,8 +63,10 @@ class OrderedRanges:
             yield from block
 
 
-def _rank(entity_type: str | None) -> int:
-    return RANK.get(entity_type, 0)
+def _order(span: dict) -> tuple[int, int, int, int]:
+    """Longest first, then by place and rank of the type."""
+    start, end = span["start"], span["end"]
+    return start - end, start, end, RANK.get(span["entity_type"], 0)
 
 
 def accepted(spans: list[dict], threshold: float = 0.5) -> list[dict]:
@@ -74,10 +76,7 @@ def accepted(spans: list[dict], threshold: float = 0.5) -> list[dict]:
     What is accepted is as long at least, so none lies within another, and only the
     neighbours of a span can share the most with it.
     """
-    ordered = sorted(
-        spans,
-        key=lambda s: (s["start"] - s["end"], s["start"], s["end"], _rank(s["entity_type"]), s["entity_type"] or "", s["value"] or ""),
-    )
+    ordered = sorted(spans, key=lambda s: (*_order(s), s["entity_type"] or "", s["value"] or ""))
     held, out = OrderedRanges(), []
     for span in ordered:
         start, end = span["start"], span["end"]
@@ -98,9 +97,7 @@ def accepted(spans: list[dict], threshold: float = 0.5) -> list[dict]:
 def disjoint(spans: list[dict]) -> list[tuple[int, int, str]]:
     """``start, end, entity_type`` by place: of spans that share characters the longer (then the
     earlier) keeps its range, the other is cut to what is left of it."""
-    ordered = sorted(
-        spans, key=lambda s: (s["start"] - s["end"], s["start"], s["end"], _rank(s["entity_type"]), s["entity_type"] or "")
-    )
+    ordered = sorted(spans, key=lambda s: (*_order(s), s["entity_type"] or ""))
     held, out = OrderedRanges(), []
     for span in ordered:
         start, end = span["start"], span["end"]

@@ -48,7 +48,8 @@ def files_to_read(
     chosen = select_entities(entities)
     present = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     present = present.option("pathGlobFilter", f"*.{fmt}").load(path)
-    present = present.select(F.col("path").alias("file_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_modification_time"))
+    names = {"path": "file_path", "length": "file_size", "modificationTime": "file_modification_time"}
+    present = present.select(*(F.col(c).alias(n) for c, n in names.items()))
     if any(t not in _pattern_types() for t in chosen):
         return sorted(r["file_path"] for r in present.collect())
     holds = F.arrays_overlap("types", F.array(*(F.lit(t) for t in chosen)))

@@ -89,14 +89,15 @@ def scrub_scope_stream(
 
     ``live``: seconds that an unseen value is remembered; None: for ever, so that the state
     grows with the distinct values. Rows without a scope share one. The state needs
-    RocksDB, which is set in the session if nothing else is.
+    RocksDB, which is set in the session where it is not.
     """
     if not stream.isStreaming:
         raise ValueError("not a stream; use scrub")
     if isinstance(terms, DataFrame):
         raise ValueError("a stream takes terms as a dict of short lists")
     spark = stream.sparkSession
-    spark.conf.set(PROVIDER, ROCKSDB)
+    if "RocksDB" not in spark.conf.get(PROVIDER, ""):
+        spark.conf.set(PROVIDER, ROCKSDB)
     text, kind = column(stream, text), kind and column(stream, kind)
     analysed = let(text, lambda t: analysed_sql(t, kind, handlers), "t")
     rows = stream.withColumn("_analysed", F.expr(analysed))
