@@ -20,10 +20,6 @@ from sparkscrub.plans.sizing import fits_broadcast
 # be printed, and all above.
 _STARTS = r"[ 08@HPX`hpx\x80-\x{10FFFF}]"
 _MASK = (1 << 64) - 1
-# Rounds in which a bucket's lines are compared with one of them, before what is left is paired.
-STAR_ROUNDS = 3
-# Characters of lines whose shingles are sent to all executors, 8 bytes for each.
-MAX_SENT_SHINGLES = 8_000_000
 
 
 def _mask(i: int) -> int:
@@ -74,83 +70,56 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def _similarities(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
-    """``a, b, j, n_a, n_b``: exact Jaccard similarities of pairs of distinct lines, and their shingles."""
+    """``a, b, j, size``: exact Jaccard similarities of pairs of distinct lines, and the shingles of b."""
     pairs = materialize(pairs, "line-pairs")
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
     wanted = materialize(wanted, "paired-lines")
     wanted = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
     texts = lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
     texts = materialize(texts, "paired-texts")
-    sets = texts.select("h", F.expr(all_shingles("line", shingle)).alias("s"))
-    # A line is cut once where the sets of all lines can be sent, else for each of its pairs.
-    few = texts.agg(F.sum(F.length("line"))).first()[0] or 0
-    if few <= MAX_SENT_SHINGLES:
-        sets = materialize(sets, "line-shingles")
-        one, other = (sets.select(F.col("h").alias(n), F.col("s").alias(f"s_{n}")) for n in "ab")
-        rows = pairs.join(F.broadcast(one), "a").join(F.broadcast(other), "b")
-    else:
-        one, other = (texts.select(F.col("h").alias(n), F.col("line").alias(f"line_{n}")) for n in "ab")
-        rows = pairs.join(one, "a").join(other, "b")
-        rows = rows.select("a", "b", *(F.expr(all_shingles(f"line_{n}", shingle)).alias(f"s_{n}") for n in "ab"))
+    one, other = (texts.select(F.col("h").alias(n), F.col("line").alias(f"line_{n}")) for n in "ab")
+    rows = pairs.join(one, "a").join(other, "b")
+    rows = rows.select("a", "b", *(F.expr(all_shingles(f"line_{n}", shingle)).alias(f"s_{n}") for n in "ab"))
     rows = rows.withColumn("both", F.size(F.array_intersect("s_a", "s_b")))
     j = F.col("both") / (F.size("s_a") + F.size("s_b") - F.col("both"))
-    sizes = (F.size(f"s_{n}").alias(f"n_{n}") for n in "ab")
-    return materialize(rows.select("a", "b", j.alias("j"), *sizes), "line-similarities")
+    return materialize(rows.select("a", "b", j.alias("j"), F.size("s_b").alias("size")), "line-similarities")
 
 
 def _parted(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with their component as ``part``, of buckets that hold several components."""
+    """``band, h, j, part``: bucket members with their component, of buckets that hold several components."""
     parts = connected_components(links).withColumnRenamed("node", "h")
     parts = F.broadcast(parts) if fits_broadcast(parts) else parts
-    rows = rows.drop("part").join(parts, "h", "left").withColumn("part", F.coalesce("component", "h")).drop("component")
+    rows = rows.join(parts, "h", "left").withColumn("part", F.coalesce("component", "h"))
     several = rows.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    return materialize(rows.join(several, "band", "left_semi"), "parted-lines")
+    return materialize(rows.join(several, "band", "left_semi").select("band", "h", "first", "part"), "parted-lines")
 
 
 def line_links(distinct: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links ``a, b`` between hashes of distinct lines (``h, n, bands``) that connect what shares a band and is similar.
 
-    All lines of a bucket are compared with its most frequent one, which is the likeliest
-    to be what the others were made from. After that, only lines of a bucket that are not
-    connected yet can add anything: a few rounds compare them with the most frequent one
-    that is not connected with it, then what is left is compared with each other. Sizes
-    and distances from the first line rule out most pairs before that.
+    All lines of a bucket are compared with its most frequent one, the likeliest to be what
+    others were made from. After that, only lines of a bucket that are not connected yet
+    can add anything; these are compared with each other, unless their sizes, or their
+    distances from the first line, differ by more than a link allows.
     """
     rows = distinct.select("h", "n", F.explode("bands").alias("band"))
     first = F.max_by("h", F.struct("n", "h")).alias("first")
     buckets = rows.groupBy("band").agg(F.count("*").alias("lines"), first).where("lines > 1").drop("lines")
-    rows = materialize(rows.join(buckets, "band"), "line-buckets")
+    rows = materialize(rows.drop("n").join(buckets, "band"), "line-buckets")
     stars = rows.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
     known = _similarities(stars, lines, shingle)
     links = known.where(F.col("j") >= similarity).select("a", "b")
-    near = known.select(F.col("a").alias("first"), F.col("b").alias("h"), "j", F.col("n_b").alias("size"))
 
     rest = _parted(rows, links)
     if rest.isEmpty():
         return links
-    # Of each bucket what is not the first line, with its distance from it.
+    near = known.select(F.col("a").alias("first"), F.col("b").alias("h"), "j", "size")
     rest = rest.where("h <> first").join(near, ["first", "h"])
-    sizes = F.least("size", "own_size") >= similarity * F.greatest("size", "own_size")
-    apart = F.abs(F.col("j") - F.col("own_j")) <= 1 - similarity + 1e-9
-    for _ in range(STAR_ROUNDS):
-        rest = _parted(rest, links)
-        if rest.isEmpty():
-            return links
-        # The largest part is done with; of the others the most frequent line.
-        counts = rest.groupBy("band", "part").agg(F.count("*").alias("lines"))
-        largest = counts.groupBy("band").agg(F.max_by("part", F.struct("lines", "part")).alias("done"))
-        others = rest.join(largest, "band").where("part <> done")
-        center = F.max_by(F.struct("h", "j", "size", "part"), F.struct("n", "h")).alias("c")
-        centers = others.groupBy("band").agg(center)
-        centers = centers.select("band", *(F.col(f"c.{c}").alias(f"own_{c}") for c in ("h", "j", "size", "part")))
-        met = rest.join(centers, "band").where("part <> own_part").where(sizes & apart)
-        more = _similarities(met.select(F.col("own_h").alias("a"), F.col("h").alias("b")).distinct(), lines, shingle)
-        links = materialize(links.union(more.where(F.col("j") >= similarity).select("a", "b")).distinct(), "line-links")
-
-    rest = _parted(rest, links)
-    own = rest.select("band", *(F.col(c).alias(f"own_{c}") for c in ("h", "j", "size", "part")))
-    pairs = rest.join(own, "band").where("h < own_h AND part <> own_part").where(sizes & apart)
-    more = _similarities(pairs.select(F.col("h").alias("a"), F.col("own_h").alias("b")).distinct(), lines, shingle)
+    x, y = (rest.select("band", *(F.col(c).alias(f"{c}_{n}") for c in ("h", "j", "size", "part"))) for n in "xy")
+    pairs = x.join(y, "band").where("h_x < h_y AND part_x <> part_y")
+    pairs = pairs.where(F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y"))
+    pairs = pairs.where(F.abs(F.col("j_x") - F.col("j_y")) <= 1 - similarity + 1e-9)
+    more = _similarities(pairs.select(F.col("h_x").alias("a"), F.col("h_y").alias("b")).distinct(), lines, shingle)
     return links.union(more.where(F.col("j") >= similarity).select("a", "b"))
 
 
