@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from checks.registry import QUERIES
 from sparkscrub.sources.tables import read_texts, spread_rows
 
 
@@ -20,3 +21,11 @@ def test_rows_that_are_spread_stay(spark):
     assert spread_rows(even, ["id"]) is even
     empty = spark.range(0)
     assert spread_rows(empty, ["id"]) is empty
+
+
+def test_a_stream_of_a_table_in_a_folder(spark, tmp_path):
+    rows = [(1, "mail a@example.com", "s"), (2, None, "s"), (2, "call", None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["scrub_stream_documents"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.masked or "") for r in got) == [(1, "mail <EMAIL_ADDRESS>"), (2, ""), (2, "call")]
