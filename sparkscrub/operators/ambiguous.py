@@ -70,11 +70,10 @@ def _in_context(text: str, spans: list[dict], kinds: dict[str, list[str]]) -> li
 
 def _places_of(text: str, built: tuple, shard: list) -> list[dict]:
     found, strings = built
-    spans = [
-        {"start": a, "end": b, "entity_type": shard[n][1][0], "value": strings[n]}
-        for a, b, n in automaton.term_places(text, found, strings)
-    ]
-    return _in_context(text, accepted(spans), dict(shard)) if spans else []
+    places = list(automaton.term_places(text, found, strings))
+    spans = [{"start": a, "end": b, "entity_type": shard[n][1][0], "value": strings[n]} for a, b, n in places]
+    numbers = {n for _, _, n in places}
+    return _in_context(text, accepted(spans), {strings[n]: shard[n][1] for n in numbers}) if spans else []
 
 
 def term_places(df: DataFrame, terms: DataFrame, text: str = "text", key: list[str] | None = None) -> DataFrame:

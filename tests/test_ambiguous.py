@@ -76,3 +76,16 @@ def test_sure_terms_are_as_ever(spark):
     df = spark.createDataFrame(rows, "id int, text string")
     got = sorted(map(tuple, typed_spans(df, sure, "text", ["id"]).collect()))
     assert got == sorted(map(tuple, automaton_spans(df, sure, "text", ["id"]).collect()))
+
+
+def test_a_text_does_not_read_the_whole_list_of_terms():
+    from sparkscrub.operators import ambiguous, automaton
+
+    class Long(list):
+        def __iter__(self):
+            raise AssertionError("read as a whole")
+
+    terms = [("Ann", ["PERSON"]), ("Paris", ["LOCATION", "PERSON"])]
+    built = automaton._automaton("terms", terms)
+    got = ambiguous._places_of("Ann in Paris", built, Long(terms))
+    assert [(p["value"], p["kinds"]) for p in got] == terms
