@@ -11,21 +11,24 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import sparkscrub
 from sparkscrub.catalog import RANK
 from sparkscrub.functions.mask import mask_spans_sql
-from sparkscrub.functions.spans import SPANS_TYPE, resolve_overlaps_sql
-from sparkscrub.functions.sqltext import column
+from sparkscrub.functions.spans import rank_sql, resolve_overlaps_sql
+from sparkscrub.functions.sqltext import column, name
 from sparkscrub.plans.shipping import ship_package
 
 # Spans of a text that are folded in place.
 DIRECT = 200
 # Ranges that a block of an ordered set holds at most.
 BLOCK = 512
+# Spans of a batch whose results are held at once; those of one text always are.
+HELD = 1_000_000
 
 
 class OrderedRanges:
@@ -77,9 +80,13 @@ def accepted(spans: list[dict], threshold: float = 0.5) -> list[dict]:
     neighbours of a span can share the most with it.
     """
     ordered = sorted(spans, key=lambda s: (*_order(s), s["entity_type"] or "", s["value"] or ""))
+    return [ordered[i] for i in accepted_ranges([s["start"] for s in ordered], [s["end"] for s in ordered], threshold)]
+
+
+def accepted_ranges(starts: list[int], ends: list[int], threshold: float = 0.5) -> list[int]:
+    """As ``accepted``, of ranges in order: the numbers of those that stay."""
     held, out = OrderedRanges(), []
-    for span in ordered:
-        start, end = span["start"], span["end"]
+    for i, (start, end) in enumerate(zip(starts, ends)):
         # Empty spans overlap nothing, and no part is more than the whole.
         if start < end and threshold < 1:
             left, right = held.before(start)
@@ -90,7 +97,7 @@ def accepted(spans: list[dict], threshold: float = 0.5) -> list[dict]:
             if shared > 0 and shared > threshold * (end - start):
                 continue
             held.add(start, end)
-        out.append(span)
+        out.append(i)
     return out
 
 
@@ -120,41 +127,77 @@ def masked_at(text: str, spans: list[dict]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _plain(spans) -> list[dict]:
-    return [s if isinstance(s, dict) else s.asDict() for s in spans]
+def _in_parts(sizes: Iterator[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold a bounded number of elements together; a longer row goes alone."""
+    first, held, row = 0, 0, -1
+    for row, size in enumerate(sizes):
+        if row > first and held + size > HELD:
+            yield first, row
+            first, held = row, 0
+        held += size
+    if row >= first:
+        yield first, row + 1
 
 
 def _sorter(threshold: float):
-    @F.pandas_udf(SPANS_TYPE)
-    def resolve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([None if s is None else accepted(_plain(s), threshold) for s in batch], dtype=object)
+    """Of ranges in order (two arrays) the numbers of those that stay; a batch may hold very many, so
+    one row's are Python objects at a time."""
+
+    @F.arrow_udf("array<int>")
+    def resolve(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for starts, ends in batches:
+            sizes = (len(x) if x.is_valid else 0 for x in starts)
+            for first, last in _in_parts(sizes):
+                kept = []
+                for row in range(first, last):
+                    a, b = starts[row], ends[row]
+                    found = accepted_ranges(a.as_py(), b.as_py(), threshold) if a.is_valid else None
+                    kept.append(None if found is None else np.array(found, np.int32))
+                yield pa.array(kept, pa.list_(pa.int32()))
 
     return resolve
 
 
 def _masker():
-    @F.pandas_udf("string")
-    def mask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def mask(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spans in batches:
-            found = [None if s is None or t is None else masked_at(t, _plain(s)) for t, s in zip(texts, spans)]
-            yield pd.Series(found, dtype=object)
+            for first, last in _in_parts(len(x) if x.is_valid else 0 for x in spans):
+                made = []
+                for row in range(first, last):
+                    both = texts[row].is_valid and spans[row].is_valid
+                    made.append(masked_at(texts[row].as_py(), spans[row].as_py()) if both else None)
+                yield pa.array(made, pa.string())
 
     return mask
 
 
+def _ordered_sql(spans: str) -> str:
+    """The order of ``accepted``: ``start, end`` and the place in the array."""
+    x, i = name("x"), name("i")
+    return (
+        f"array_sort(transform({spans}, ({x}, {i}) -> struct({x}.start - {x}.end AS n, {x}.start AS start, {x}.end AS end, "
+        f"coalesce({rank_sql(x + '.entity_type')}, 0) AS rank, coalesce({x}.entity_type, '') AS entity_type, "
+        f"coalesce({x}.value, '') AS value, {i} AS i)))"
+    )
+
+
 def resolve_spans(df: DataFrame, spans: str = "spans", threshold: float = 0.5, direct: int = DIRECT) -> DataFrame:
     """``df`` with the spans that survive overlap resolution, longest first.
 
     The same as ``resolve_overlaps``, in n log n for texts with more than ``direct`` spans;
-    only their spans leave the JVM.
+    only the ranges of their spans leave the JVM.
     """
     ship_package(df.sparkSession, sparkscrub)
     own = column(df, spans)
     many = F.expr(f"size({own}) > {direct}")
     few = F.when(~many, F.expr(resolve_overlaps_sql(own, threshold)))
-    sorted_out = _sorter(threshold)(F.when(many, F.expr(own)))
-    return df.withColumn(spans, F.when(many, sorted_out).otherwise(few))
+    x = name("x")
+    places = F.expr(f"transform(_ordered, {x} -> {x}.i)")
+    rows = df.withColumn("_ordered", F.when(many, F.expr(_ordered_sql(own))))
+    rows = rows.withColumn("_places", places).withColumn("_kept", _sorter(threshold)(F.col("_ordered.start"), F.col("_ordered.end")))
+    sorted_out = F.expr(f"transform(_kept, {x} -> {own}[_places[{x}]])")
+    return rows.withColumn(spans, F.when(many, sorted_out).otherwise(few)).drop("_ordered", "_places", "_kept")
 
 
 def mask_spans_of(
@@ -169,5 +212,7 @@ def mask_spans_of(
     own, found = column(df, text), column(df, spans)
     many = F.expr(f"size({found}) > {direct}")
     few = F.when(~many, F.expr(mask_spans_sql(own, found)))
-    spliced = _masker()(F.when(many, F.expr(own)), F.when(many, F.expr(found)))
+    x = name("x")
+    placed = F.expr(f"transform({found}, {x} -> struct({x}.start, {x}.end, {x}.entity_type))")
+    spliced = _masker()(F.when(many, F.expr(own)), F.when(many, placed))
     return df.withColumn(output, F.when(many, spliced).otherwise(few))

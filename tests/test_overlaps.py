@@ -66,3 +66,14 @@ def test_an_ordered_set_is_split_and_stays_in_order(monkeypatch):
         right = [r for r in plain if r[0] > at]
         assert held.before(at) == (left[-1] if left else None, right[0] if right else None)
     assert list(held) == plain
+
+
+def test_only_ranges_of_one_text_are_objects_at_a_time(spark, monkeypatch):
+    """Strings stay in the JVM, and a batch is answered in parts of a bounded number of spans."""
+    rows = [made(i, n=60) for i in range(40)]
+    plan = resolve_spans(frame(spark, rows), direct=0)._jdf.queryExecution().optimizedPlan().toString()
+    (call,) = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert "_ordered" in call and ".start" in call and ".end" in call and "value" not in call
+    monkeypatch.setattr(overlaps, "HELD", 10)
+    assert list(overlaps._in_parts([4, 4, 4, 30, 0, 1])) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(overlaps._in_parts([])) == []
