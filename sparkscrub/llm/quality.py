@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkscrub.llm.common import field_type, in_chunks, map_rows
+from sparkscrub.llm.common import field_type, in_chunks, map_rows, materialize
+from sparkscrub.plans.sizing import fits_broadcast
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -26,6 +27,9 @@ _ALNUM = _UPPER + bytes(range(97, 123)) + _DIGITS
 # All bytes but ASCII punctuation and control characters.
 _NO_MARK = _ALNUM + SPACES.encode() + bytes(range(128, 256))
 
+# Scores are counted in so many ranges.
+SCORE_RANGES = 1 << 16
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("symbols", "repeats", "duplicate_lines", "word_length", "upper", "digits", "punctuation")
 
@@ -100,38 +104,26 @@ class Forest:
     @classmethod
     def fit(
         cls,
-        stats: np.ndarray,
         good: np.ndarray,
+        bad: np.ndarray,
+        low: np.ndarray,
+        high: np.ndarray,
+        active: np.ndarray,
         trees: int,
         sample: int,
         seed: int,
         bad_share: float,
-        usual: float,
-        margin: float,
-        min_lift: float,
     ) -> Forest:
-        """Each tree sees ``sample`` rows, of which ``bad_share`` are bad: anomalies must be few to be isolated.
-
-        The usual range holds the share ``usual`` of good rows and is widened by ``margin``
-        of its width on both sides, since among rows that are all alike the slightest
-        difference would be isolated at once.
-        """
+        """Each tree sees ``sample`` rows, of which ``bad_share`` are bad: anomalies must be few to be isolated."""
         random = np.random.default_rng(seed)
-        low, high = np.quantile(stats[good], [(1 - usual) / 2, (1 + usual) / 2], axis=0)
-        low, high = low - margin * (high - low), high + margin * (high - low)
         depth = max(1, int(np.ceil(np.log2(max(2, sample)))))
         shape = (trees, 2 ** (depth + 1) - 1)
-        forest = cls(low, high, np.full(shape, -1), np.zeros(shape), np.zeros(shape), sample)
-        # A statistic takes part if bad rows leave its usual range far more often than good rows.
-        away = (forest.outside(stats) > 0).astype(float)
-        forest.active = away[~good].mean(axis=0) >= min_lift * away[good].mean(axis=0) + min_lift / len(stats)
-        points = forest.outside(stats)
+        forest = cls(low, high, np.full(shape, -1), np.zeros(shape), np.zeros(shape), sample, active=active)
+        good, bad = forest.outside(good), forest.outside(bad)
         n_bad = max(1, round(sample * bad_share))
         for tree in range(trees):
-            rows = np.concatenate(
-                [random.choice(np.flatnonzero(good), sample - n_bad), random.choice(np.flatnonzero(~good), n_bad)]
-            )
-            open_nodes = [(0, 0, points[rows])]
+            rows = [good[random.choice(len(good), sample - n_bad)], bad[random.choice(len(bad), n_bad)]]
+            open_nodes = [(0, 0, np.concatenate(rows))]
             while open_nodes:
                 node, level, own = open_nodes.pop()
                 least, most = own.min(axis=0), own.max(axis=0)
@@ -169,19 +161,21 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / max(float(usual_path(self.sample)), 1e-9))
 
 
-def calibrated(scores: np.ndarray, good: np.ndarray, max_good_lost: float) -> float:
-    """The score above which rejecting gives the best balanced accuracy, losing few good rows."""
-    order = np.argsort(-scores, kind="stable")
-    ranked = scores[order]
-    bad_hit = np.cumsum(~good[order]) / max(1, (~good).sum())
+def calibrated(least: np.ndarray, most: np.ndarray, good: np.ndarray, bad: np.ndarray, max_good_lost: float) -> float:
+    """The score above which rejecting gives the best balanced accuracy, losing few good rows.
+
+    From ranges of scores that do not overlap: their least and greatest score, their good and bad rows.
+    """
+    order = np.argsort(-least, kind="stable")
+    least, most = least[order], most[order]
+    bad_hit = np.cumsum(bad[order]) / max(1, bad.sum())
     good_hit = np.cumsum(good[order]) / max(1, good.sum())
-    last_of_tie = np.append(ranked[1:] < ranked[:-1], True)
-    gain = np.where(last_of_tie & (good_hit <= max_good_lost), bad_hit - good_hit, -1.0)
+    gain = np.where(good_hit <= max_good_lost, bad_hit - good_hit, -1.0)
     best = int(np.argmax(gain)) if len(gain) else 0
     if not len(gain) or gain[best] <= 0:
         return np.inf
-    below = ranked[best + 1] if best + 1 < len(ranked) else ranked[best] - 1
-    return float((ranked[best] + below) / 2)
+    below = most[best + 1] if best + 1 < len(most) else least[best] - 1
+    return float((least[best] + below) / 2)
 
 
 def _measured(df: DataFrame, names: list[str], finish) -> DataFrame:
@@ -208,13 +202,55 @@ def _measured(df: DataFrame, names: list[str], finish) -> DataFrame:
     return map_rows(df, step, schema)
 
 
+def _ends(rows: DataFrame, n: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The quantiles ``share`` and ``1 - share`` of each statistic of ``n`` rows, exact and interpolated.
+
+    Only the rows beyond them are sorted in one place, and two numbers for each come to the driver.
+    """
+    place = share * (n - 1)
+    first, part = int(place), place - int(place)
+    wanted = []
+    for i in range(len(FEATURES)):
+        for sign in (1, -1):
+            own = rows.select((sign * F.col("features")[i]).alias("v")).orderBy("v").limit(first + 2)
+            two = own.orderBy(F.desc("v")).limit(2).agg(F.sort_array(F.collect_list("v")).alias("v"))
+            wanted.append(two.select(F.lit(i).alias("i"), F.lit(sign).alias("sign"), "v"))
+    found = wanted[0]
+    for one in wanted[1:]:
+        found = found.unionByName(one)
+    low, high = np.zeros(len(FEATURES)), np.zeros(len(FEATURES))
+    for i, sign, v in found.collect():
+        value = v[0] if n == 1 else v[0] + part * (v[-1] - v[0])
+        (low if sign > 0 else high)[i] = sign * value
+    return low, high
+
+
+def _scored(rows: DataFrame, forest: Forest, label: str) -> DataFrame:
+    """Ranges of scores with their least and greatest score and their good and bad rows."""
+    schema = T.StructType([T.StructField("score", T.DoubleType()), T.StructField(label, rows.schema[label].dataType)])
+    arrow = to_arrow_schema(schema)
+
+    def step(batches):
+        for batch in batches:
+            points = np.array(batch.column(0).to_pylist(), float).reshape(-1, len(FEATURES))
+            score = pa.array(forest.score(points), pa.float64())
+            yield pa.RecordBatch.from_arrays([score, batch.column(1).cast(arrow.field(1).type)], schema=arrow)
+
+    scored = map_rows(rows.select("features", label), step, schema)
+    return scored.groupBy(F.floor(F.col("score") * SCORE_RANGES).alias("range")).agg(
+        F.min("score").alias("least"),
+        F.max("score").alias("most"),
+        F.count_if(F.col(label) > 0).alias("good"),
+        F.count_if(F.col(label) <= 0).alias("bad"),
+    )
+
+
 def fit_forest(
     df: DataFrame,
     labels: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     quality: str = "quality",
-    max_labelled: int = 20_000,
     trees: int = 100,
     sample: int = 256,
     seed: int = 7,
@@ -226,20 +262,27 @@ def fit_forest(
     min_words: int = 50,
     max_repeat: int = 50,
 ) -> Forest | None:
-    """Grow the forest on at most ``max_labelled`` labelled documents and calibrate it.
-
-    The sample is the labelled keys of smallest hash, so it does not depend on the order
-    of rows. Rows without a key, text or label are left out, and keys that are labelled
-    good and bad; without labelled rows of both kinds there is no forest (None).
+    """Grow the forest on the labelled documents and calibrate it on all of them.
+
+    The usual range holds the share ``usual`` of good rows and is widened by ``margin``
+    of its width on both sides, since among rows that are all alike the slightest
+    difference would be isolated at once. A statistic takes part if bad rows leave its
+    usual range far more often than good rows (``min_lift``).
+
+    Ranges, statistics that take part and the score that rejects come from all labelled rows, counted by
+    Spark. A tree of an isolation forest is grown on ``sample`` rows, drawn from as many good and bad rows
+    as all trees take together, those of smallest hash. Rows without a key, text or
+    label are left out, and keys that are labelled good and bad; without labelled rows
+    of both kinds there is no forest (None).
     """
     ids = labels.select(F.col(f"`{key}`").alias(key), F.col(f"`{quality}`").cast("int").alias("_label"))
     # A key that is labelled good and bad says nothing.
     kinds = F.col("_label") > 0
     ids = ids.dropna().groupBy(key).agg(F.min("_label").alias("_label"), (F.min(kinds) == F.max(kinds)).alias("_sure"))
-    ids = ids.where("_sure").drop("_sure").orderBy(F.xxhash64(key), key).limit(max_labelled)
+    ids = materialize(ids.where("_sure").drop("_sure"), "labels")
     texts = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text")).dropna()
-    # At most max_labelled keys, so the broadcast is bounded.
-    own = texts.join(F.broadcast(ids), key).select("_label", "_text")
+    own = texts.join(F.broadcast(ids) if fits_broadcast(ids) else ids, key)
+    own = own.select("_label", F.xxhash64(key).alias("_mark"), "_text")
 
     def finish(c, f):
         return [list(row) for row in f], c[:, 0], c[:, 4]
@@ -249,16 +292,32 @@ def fit_forest(
         T.StructField("n_words", T.LongType()),
         T.StructField("n_repeat_words", T.LongType()),
     ]
-    measured = _measured(own, ["_label"], (fields, finish))
-    # A document may be there more than once: the bound holds for rows, too.
-    rows = measured.orderBy(F.xxhash64("features"), "_label").limit(max_labelled).collect()
-    rows = [r for r in rows if not base_failed((r[2], 0, 0, 0, r[3]), min_words, max_repeat)]
-    good = np.array([r["_label"] > 0 for r in rows], bool)
-    if not rows or good.all() or not good.any():
+    rows = _measured(own, ["_label", "_mark"], (fields, finish))
+    rows = rows.where(f"n_words >= {min_words} AND 100 * n_repeat_words <= {max_repeat} * n_words")
+    rows = materialize(rows.select("_label", "_mark", "features"), "labelled")
+    is_good = F.col("_label") > 0
+    good, bad = rows.where(is_good), rows.where(~is_good)
+    n_good, n_bad = rows.agg(F.count_if(is_good), F.count_if(~is_good)).first()
+    if not n_good or not n_bad:
         return None
-    points = np.array([r["features"] for r in rows], float)
-    forest = Forest.fit(points, good, trees, sample, seed, bad_share, usual, margin, min_lift)
-    forest.threshold = calibrated(forest.score(points), good, max_good_lost)
+    low, high = _ends(good, n_good, (1 - usual) / 2)
+    low, high = low - margin * (high - low), high + margin * (high - low)
+    outside = [
+        (F.col("features")[i] > float(high[i])) | (F.col("features")[i] < float(low[i])) for i in range(len(FEATURES))
+    ]
+    counts = rows.agg(*(F.count_if(kind & away) for kind in (is_good, ~is_good) for away in outside)).first()
+    away_good, away_bad = np.array(counts[: len(outside)]) / n_good, np.array(counts[len(outside) :]) / n_bad
+    active = away_bad >= min_lift * away_good + min_lift / (n_good + n_bad)
+
+    def drawn(kind: DataFrame) -> np.ndarray:
+        some = kind.orderBy(F.xxhash64("_mark", "features"), "_mark", "features").limit(trees * sample)
+        # Whatever the hash of the key: the order of rows.
+        return np.array([r["features"] for r in some.orderBy(F.xxhash64("features"), "_label").collect()], float)
+
+    forest = Forest.fit(drawn(good), drawn(bad), low, high, active, trees, sample, seed, bad_share)
+    ranges = _scored(rows, forest, "_label").toArrow()
+    ranges = [ranges[c].to_numpy() for c in ("least", "most", "good", "bad")]
+    forest.threshold = calibrated(*ranges, max_good_lost)
     return forest
 
 

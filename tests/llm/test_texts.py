@@ -336,3 +336,19 @@ def test_no_text_of_the_given_pages_is_lost(spark):
                 above = page.parent[above]
             if above in cores and not page.noise[i] and len(cores) == 1:
                 assert own in text
+
+
+def test_the_threshold_of_a_forest_comes_from_all_labelled_rows(spark, monkeypatch):
+    """More labelled rows than the trees take: quantiles, rates and the threshold are those of all of them."""
+    train = made_texts(6, 600)
+    docs = frame(spark, [(i, t) for i, t, _ in train])
+    labels = spark.createDataFrame([(i, q) for i, _, q in train], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "calibrated", lambda *a, f=quality.calibrated: seen.append(a) or f(*a))
+    forest = quality.fit_forest(docs, labels, trees=3, sample=16)
+    stats = [(quality.statistics(t), q) for _, t, q in train]
+    stats = [(f, q) for (c, f), q in stats if not quality.base_failed(c, 50, 50)]
+    good = np.array([f for f, q in stats if q])
+    low, high = np.quantile(good, [0.001, 0.999], axis=0)
+    assert np.allclose(forest.low, low - 0.5 * (high - low)) and np.allclose(forest.high, high + 0.5 * (high - low))
+    assert (seen[0][2].sum(), seen[0][3].sum()) == (len(good), len(stats) - len(good))
