@@ -197,3 +197,19 @@ def test_headers_of_an_attached_message_are_masked(spark):
     assert "From: Ann <<EMAIL_ADDRESS>>" in head and "Subject: call <PHONE_NUMBER>" in head
     assert parts["0.1.0text"].strip() == "see <EMAIL_ADDRESS>"
     assert messages.quarantine(mailbox.parse_messages(files)).count() == 0
+
+
+def test_plain_headers_are_not_parsed_and_read_the_same():
+    from email import policy
+
+    from sparkscrub.sources import mailbox
+
+    plain = [("From", "Ann Lee <ann.lee@example.com>"), ("to", "desk-1@example.org"), ("Subject", "Note 1 (by) \"x\", y@z"), ("X-Trace", "a")]
+    other = [("To", "a@b, c@d"), ("From", "A.B <a@b>"), ("From", "a@b (note)"), ("Subject", "=?utf-8?q?a?="), ("Subject", "a  b"), ("Subject", "é"), ("X", ""), ("Date", "today")]
+    before = mailbox._parsed_header.cache_info().misses
+    for name, value in plain:
+        assert mailbox._POLICY.header_fetch_parse(name, value) == str(policy.default.header_fetch_parse(name, value)) == value
+    assert mailbox._parsed_header.cache_info().misses == before
+    for name, value in other:
+        assert not mailbox._plain(name, value)
+        assert str(mailbox._POLICY.header_fetch_parse(name, value)) == str(policy.default.header_fetch_parse(name, value))
