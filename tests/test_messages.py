@@ -213,3 +213,44 @@ def test_plain_headers_are_not_parsed_and_read_the_same():
     for name, value in other:
         assert not mailbox._plain(name, value)
         assert str(mailbox._POLICY.header_fetch_parse(name, value)) == str(policy.default.header_fetch_parse(name, value))
+
+
+PLAIN = {
+    "alone": "Subject: a\nFrom: Bob Gray <bob@x.com>\n\nhello\n",
+    "no headers": "\njunk",
+    "no end of headers": "Subject: a\nFrom: b@x.com",
+    "folded": "Subject: a\n b\n\nhello",
+    "unknown charset": "Content-Type: text/plain; charset=x-none\n\nhello",
+    "unknown charset, empty": "Content-Type: text/plain; charset=x-none\n\n",
+    "letters": "Subject: a\nContent-Type: text/html; charset=utf-8\n\n<p>ä</p>",
+    "encoded": "Content-Type: text/plain\nContent-Transfer-Encoding: base64\n\naGVsbG8=\n",
+    "line ends": "Subject: a\r\n\r\nhello\r\n",
+    "nested": "Content-Type: multipart/mixed; boundary=o\n\nbefore\n--o\nContent-Type: multipart/alternative; boundary=i\n\n"
+    "--i\nContent-ID: <c>\n\ntext\n\n--i\n\nno headers\n--i-- \nafter i\n--o\nContent-Type: application/pdf\n"
+    'Content-Disposition: attachment; filename="a.pdf"\n\njunk\n--o--\nafter\n',
+    "not closed": "Content-Type: multipart/mixed; boundary=o\n\n--o\n\ntext\n",
+    "closed first": "Content-Type: multipart/mixed; boundary=o\n\n--o--\n\ntext\n--o\n",
+    "inner not closed": "Content-Type: multipart/mixed; boundary=o\n\n--o\nContent-Type: multipart/mixed; boundary=i\n\n"
+    "--i\n\ntext\n--o--\n",
+    "twice": "Content-Type: multipart/mixed; boundary=o\n\n--o\n--o\n\ntext\n--o--\n",
+    "one boundary in another": "Content-Type: multipart/mixed; boundary=o\n\n--o\nContent-Type: multipart/mixed; boundary=o\n\n"
+    "--o\n\ntext\n--o--\n",
+    "a message": "Content-Type: multipart/mixed; boundary=o\n\n--o\nContent-Type: message/rfc822\n\nSubject: b\n\ninner\n--o--\n",
+    "a name twice": 'Content-Disposition: attachment; filename="a"\nContent-Disposition: inline; filename="b"\n\nhello',
+}
+
+
+@pytest.mark.parametrize("shape", PLAIN)
+def test_the_quick_parser_gives_what_the_library_gives(shape):
+    def filled(parsed):
+        return parsed[0], parsed[1], [{k: v for k, v in p.items() if v is not None} for p in parsed[2]]
+
+    raw = PLAIN[shape].encode()
+    assert filled(mailbox._parse(raw)) == filled(mailbox._parse_any(raw))
+
+
+@pytest.mark.parametrize("shape", ["alone", "no headers", "unknown charset", "letters", "nested"])
+def test_messages_of_plain_shape_are_not_given_to_the_library(shape, monkeypatch):
+    monkeypatch.setattr(mailbox.email, "message_from_bytes", None)
+    status, _, parts = mailbox._parse(PLAIN[shape].encode())
+    assert status == "no_headers" if shape == "no headers" else status == "ok" and parts

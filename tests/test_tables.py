@@ -29,3 +29,10 @@ def test_a_stream_of_a_table_in_a_folder(spark, tmp_path):
     documents.write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["scrub_stream_documents"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.masked or "") for r in got) == [(1, "mail <EMAIL_ADDRESS>"), (2, ""), (2, "call")]
+
+
+def test_spread_tables_fill_whole_rounds_of_cores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("sparkscrub.sources.tables.ROWS_EACH", 300)
+    spark.range(4000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spread = spread_rows(read_texts(spark, f"{tmp_path}/one", ["id"]), ["id"])
+    assert spread.rdd.getNumPartitions() % spark.sparkContext.defaultParallelism == 0
