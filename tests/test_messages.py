@@ -254,3 +254,8 @@ def test_messages_of_plain_shape_are_not_given_to_the_library(shape, monkeypatch
     monkeypatch.setattr(mailbox.email, "message_from_bytes", None)
     status, _, parts = mailbox._parse(PLAIN[shape].encode())
     assert status == "no_headers" if shape == "no headers" else status == "ok" and parts
+
+
+def test_a_message_without_content_keeps_its_status(spark):
+    rows = mailbox.parse_messages(spark.createDataFrame([("a", None)], "path string, content binary"))
+    assert [(r["status"], r["headers"], r["parts"]) for r in rows.collect()] == [("error: AttributeError", [], [])]
