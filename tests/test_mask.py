@@ -190,3 +190,10 @@ def test_fragments_across_need_a_separator(spark):
     for separator in ("", "E", "<"):
         with pytest.raises(ValueError):
             mask_fragments(df, separator=separator, entities=["URL"], across=True)
+
+
+def test_keys_and_spans_are_ordered_without_a_comparison_by_expressions(spark):
+    from sparkscrub.functions.spans import keys_sql, spans_sql
+
+    plan = spark.sql(f"SELECT {keys_sql('t')} AS k, {spans_sql('t')} AS s FROM VALUES ('a@example.com') AS v(t)")
+    assert "array_sort" not in plan._jdf.queryExecution().analyzed().toString()
