@@ -76,3 +76,19 @@ def test_unknown_and_changed_files_are_read(spark, folder):
     assert {r.f for r in read_holding(spark, folder, index, ["IP_ADDRESS"]).collect()} == {0, 4, 9}
     older = index.withColumn("file_size", F.col("file_size") + 1)
     assert len(files_to_read(spark, folder, older, ["IP_ADDRESS"])) == 6
+
+
+def test_the_registered_report_searches_the_texts_once(spark, tmp_path):
+    from checks.registry import QUERIES
+
+    tables = {
+        "customer": ("c_custkey long, c_name string, c_nationkey int", [(1, "Ann", 1), (2, "Bob", 1)]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(1, "PERU", 1)]),
+        "region": ("r_regionkey int, r_name string", [(1, "AMERICA")]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderdate date", [(n, 1 + n % 2, None) for n in range(1, 9)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    report = QUERIES["entity_report_of_sketches"](spark, str(tmp_path))
+    assert "regexp_extract_all" not in report._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r["estimate_holds"] for r in report.collect())
