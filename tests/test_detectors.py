@@ -4,7 +4,8 @@ import pytest
 
 from sparkscrub.catalog import DEFAULT_TYPES, ENTITIES, RANK, select_entities
 from sparkscrub.functions import spans
-from sparkscrub.functions.detectors import FAMILIES, term_families
+from sparkscrub.functions.detectors import FAMILIES, family_spans, term_families
+from sparkscrub.functions.wallets import base58check_sql
 from sparkscrub.operators.detect import detect, explode_spans
 from sparkscrub.operators.scrub import scrub
 
@@ -169,3 +170,27 @@ def test_few_and_many_hits_of_one_text(spark):
         spans = detect(spark.createDataFrame([(text,)], "text string"), entities=["IP_ADDRESS"]).first()["spans"]
         assert [text[s["start"] : s["end"]] for s in spans] == [s["value"] for s in spans]
         assert [s["value"] for s in spans] == [f"10.{i % 256}.0.{i % 7}" for i in range(n)]
+
+
+def test_marks_in_the_text_itself(spark):
+    """Positions come from marks put around the matches; a text may hold these marks."""
+    text = "\x01a@b.org\x02 on 2024-01-02\x01, \x02\x01call 345-555-1234 or 12345678\x02\x02 \x01"
+    got = detect(spark.createDataFrame([(text,), ("\x01\x02",)], "text string")).collect()
+    assert [(s["value"], s["entity_type"]) for s in got[0]["spans"]] == [
+        ("a@b.org", "EMAIL_ADDRESS"), ("2024-01-02", "DATE_TIME"), ("345-555-1234", "PHONE_NUMBER"), ("12345678", "US_BANK_NUMBER"),
+    ]
+    assert all(text[s["start"] : s["end"]] == s["value"] for s in got[0]["spans"])
+    assert got[0]["text"] == text and got[1]["spans"] == []
+
+
+
+def test_positions_scan_each_text_once():
+    """A second scan, by ``split`` with the same pattern, gave the positions before."""
+    for family in FAMILIES:
+        if not family.group:
+            assert family_spans(family, "text").count(family.pattern) == 1
+
+
+def test_long_wallets_take_few_steps():
+    """Five digits a step: 7 steps over 7 limbs, not one for each of up to 35 digits over 9."""
+    assert "split(" not in base58check_sql("v") and f"{58**5}L" in base58check_sql("v")
