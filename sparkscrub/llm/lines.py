@@ -69,8 +69,13 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return lines.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64("line", F.lit(1)))
 
 
-def _similarities(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
-    """``a, b, j, size``: exact Jaccard similarities of pairs of distinct lines, and the shingles of b."""
+def _similarities(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float | None = None) -> DataFrame:
+    """``a, b, j``: exact Jaccard similarities of pairs of distinct lines.
+
+    With ``similarity`` also what tells which other lines of a common ``a`` may be similar to b:
+    ``size``, the shingles of b; ``fresh``, how many a does not have; ``lead``, the first shingles
+    of b, those that a does not have before the others, as many as a larger partner could not all miss.
+    """
     pairs = materialize(pairs, "line-pairs")
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
     wanted = materialize(wanted, "paired-lines")
@@ -82,7 +87,39 @@ def _similarities(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame
     rows = rows.select("a", "b", *(F.expr(all_shingles(f"line_{n}", shingle)).alias(f"s_{n}") for n in "ab"))
     rows = rows.withColumn("both", F.size(F.array_intersect("s_a", "s_b")))
     j = F.col("both") / (F.size("s_a") + F.size("s_b") - F.col("both"))
-    return materialize(rows.select("a", "b", j.alias("j"), F.size("s_b").alias("size")), "line-similarities")
+    more = []
+    if similarity is not None:
+        lead = "concat(sort_array(array_except(s_b, s_a)), sort_array(array_intersect(s_b, s_a)))"
+        lead = F.expr(f"slice({lead}, 1, {_lead('size(s_b)', similarity)})")
+        more = [F.size("s_b").alias("size"), (F.size("s_b") - F.col("both")).alias("fresh"), lead.alias("lead")]
+    return materialize(rows.select("a", "b", j.alias("j"), *more), "line-similarities")
+
+
+def _lead(size: str, share: float) -> str:
+    """SQL: so many shingles of a line that a partner with this share of them has one, whatever their order."""
+    return f"cast({size} - ceil({share!r}D * {size} - 1e-9D) + 1 AS int)"
+
+
+def _candidates(members: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: pairs of ``first, h, part, j, size, fresh, lead`` with one ``first`` that can be similar.
+
+    Similar lines share many shingles, so one of them is among the first ones of both in
+    any common order; the smaller line needs fewer, since its partner is no smaller. What is not
+    in the line all were compared with comes first: copies that were changed in ways of
+    their own have nothing there in common, so they do not meet.
+    """
+    rows = members.select("first", "h", "part", "j", "size", "fresh", F.posexplode("lead").alias("at", "g"))
+    both = 2 * similarity / (1 + similarity)
+    x, y = (rows.select("first", "g", *(F.col(c).alias(f"{c}_{n}") for c in rows.columns[1:7])) for n in "xy")
+    x = x.where(F.expr(f"at_x < {_lead('size_x', both)}"))
+    pairs = x.join(y, ["first", "g"]).where("part_x <> part_y AND (size_x < size_y OR size_x = size_y AND h_x < h_y)")
+    pairs = pairs.where(F.col("size_x") >= similarity * F.col("size_y") - 1e-9)
+    pairs = pairs.where(F.abs(F.col("j_x") - F.col("j_y")) <= 1 - similarity + 1e-9)
+    # At the first shingle that two lines share, all that they share stands from there on in both.
+    new = F.least(F.expr("size_x - fresh_x"), F.expr("size_y - fresh_y")) + F.least(F.expr("fresh_x - at_x"), F.expr("fresh_y - at_y"))
+    shared = F.when(F.expr("at_x < fresh_x"), new).otherwise(F.least(F.expr("size_x - at_x"), F.expr("size_y - at_y")))
+    pairs = pairs.where(shared >= both / 2 * (F.col("size_x") + F.col("size_y")) - 1e-6)
+    return pairs.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
 
 
 def _parted(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -99,28 +136,27 @@ def line_links(distinct: DataFrame, lines: DataFrame, shingle: int, similarity:
 
     All lines of a bucket are compared with its most frequent one, the likeliest to be what
     others were made from. After that, only lines of a bucket that are not connected yet
-    can add anything; these are compared with each other, unless their sizes, or their
-    distances from the first line, differ by more than a link allows.
+    can add anything; of these the ones are compared that can be similar by their sizes,
+    their distances from that line and the shingles that it does not have.
     """
     rows = distinct.select("h", "n", F.explode("bands").alias("band"))
     first = F.max_by("h", F.struct("n", "h")).alias("first")
     buckets = rows.groupBy("band").agg(F.count("*").alias("lines"), first).where("lines > 1").drop("lines")
     rows = materialize(rows.drop("n").join(buckets, "band"), "line-buckets")
     stars = rows.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
-    known = _similarities(stars, lines, shingle)
+    known = _similarities(stars, lines, shingle, similarity)
     links = known.where(F.col("j") >= similarity).select("a", "b")
 
     rest = _parted(rows, links)
     if rest.isEmpty():
         return links
-    near = known.select(F.col("a").alias("first"), F.col("b").alias("h"), "j", "size")
-    rest = rest.where("h <> first").join(near, ["first", "h"])
-    x, y = (rest.select("band", *(F.col(c).alias(f"{c}_{n}") for c in ("h", "j", "size", "part"))) for n in "xy")
-    pairs = x.join(y, "band").where("h_x < h_y AND part_x <> part_y")
-    pairs = pairs.where(F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y"))
-    pairs = pairs.where(F.abs(F.col("j_x") - F.col("j_y")) <= 1 - similarity + 1e-9)
-    more = _similarities(pairs.select(F.col("h_x").alias("a"), F.col("h_y").alias("b")).distinct(), lines, shingle)
-    return links.union(more.where(F.col("j") >= similarity).select("a", "b"))
+    members = rest.where("h <> first").select("first", "h", "part").distinct()
+    members = members.join(known.select(F.col("a").alias("first"), F.col("b").alias("h"), "j", "size", "fresh", "lead"), ["first", "h"])
+    more = _similarities(_candidates(members, similarity), lines, shingle).where(F.col("j") >= similarity)
+    # Lines with one first line need not share a band.
+    one, other = (distinct.select(F.col("h").alias(n), F.col("bands").alias(f"bands_{n}")) for n in "ab")
+    more = more.join(one, "a").join(other, "b").where(F.arrays_overlap("bands_a", "bands_b"))
+    return links.union(more.select("a", "b"))
 
 
 def removed_lines(

@@ -179,3 +179,28 @@ def test_lines_with_many_unlike_neighbours(spark):
     rows = list(enumerate(texts))
     got = lines.dedup_lines(frame(spark, rows), bands=12, rows=1)
     assert by_key(got.collect()) == by_key(models.deduped_lines(rows))
+
+
+def test_lines_changed_in_ways_of_their_own_do_not_meet(spark):
+    """Of copies that are unlike the line they were made from, only those are compared that can be similar."""
+    pick = random.Random(9)
+    base = "".join(pick.choice("abcdehilopst ") for _ in range(400))
+
+    def changed(n):
+        letters = list(base)
+        for at in pick.sample(range(20, 380), n):
+            letters[at] = pick.choice("0123456789")
+        return "".join(letters)
+
+    copies = [changed(pick.choice([2, 4, 8, 12])) for _ in range(60)] + [base[: 400 - 5 * i] for i in range(1, 40)]
+    copies += [c[:200] + "#" + c[201:] for c in copies[:30]]
+    lines_of = spark.createDataFrame(list(enumerate([base, *copies])), "h long, line string")
+    stars = spark.createDataFrame([(0, i + 1) for i in range(len(copies))], "a long, b long")
+    known = lines._similarities(stars, lines_of, 10, 0.8)
+    members = known.selectExpr("a AS first", "b AS h", "b AS part", "j", "size", "fresh", "lead")
+    got = {tuple(r) for r in lines._candidates(members, 0.8).collect()}
+    sets = [models.char_shingles(c) for c in copies]
+    n = range(len(copies))
+    similar = {(i + 1, j + 1) for i in n for j in n[i + 1 :] if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert similar <= got
+    assert len(got) < len(copies) ** 2 / 6
