@@ -158,3 +158,22 @@ def test_values_that_begin_alike(spark, request, large):
     )
     anchors = matching._anchors(values, []).groupBy("gram").count().agg({"count": "max"}).first()[0]
     assert anchors <= 2
+
+
+def test_values_that_differ_in_few_places(spark, tight, monkeypatch):
+    """Phone numbers that end alike: a text meets its own ones, not all that share an ending."""
+    stored = {}
+    keep = matching.materialize
+
+    def counted(df, label):
+        out = keep(df, label)
+        stored[label] = out.count()
+        return out
+
+    monkeypatch.setattr(matching, "materialize", counted)
+    numbers = [f"+1 ({200 + i}) 555-{j:04}" for i in range(60) for j in range(5)]
+    texts = spark.createDataFrame(list(enumerate(f"call {n}." for n in numbers)), "id int, text string")
+    values = spark.createDataFrame([(n,) for n in numbers], "value string")
+    got = find_values(texts, values, [], ["id"]).collect()
+    assert sorted((r["id"], r["value"]) for r in got) == list(enumerate(numbers))
+    assert stored["found-pieces"] < 2 * len(numbers)
