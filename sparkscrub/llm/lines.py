@@ -73,8 +73,8 @@ def _similarities(pairs: DataFrame, lines: DataFrame, shingle: int, similarity:
     """``a, b, j``: exact Jaccard similarities of pairs of distinct lines.
 
     With ``similarity`` also what tells which other lines of a common ``a`` may be similar to b:
-    ``size``, the shingles of b; ``fresh``, how many a does not have; ``lead``, the first shingles
-    of b, those that a does not have before the others, as many as a larger partner could not all miss.
+    ``size``, the shingles of b; ``fresh``, how many a does not have; ``lead``, all of these and, if
+    they are fewer than a larger partner could all miss, the first others up to that number.
     """
     pairs = materialize(pairs, "line-pairs")
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
@@ -90,7 +90,7 @@ def _similarities(pairs: DataFrame, lines: DataFrame, shingle: int, similarity:
     more = []
     if similarity is not None:
         lead = "concat(sort_array(array_except(s_b, s_a)), sort_array(array_intersect(s_b, s_a)))"
-        lead = F.expr(f"slice({lead}, 1, {_lead('size(s_b)', similarity)})")
+        lead = F.expr(f"slice({lead}, 1, greatest({_lead('size(s_b)', similarity)}, size(s_b) - both))")
         more = [F.size("s_b").alias("size"), (F.size("s_b") - F.col("both")).alias("fresh"), lead.alias("lead")]
     return materialize(rows.select("a", "b", j.alias("j"), *more), "line-similarities")
 
@@ -105,10 +105,20 @@ def _candidates(members: DataFrame, similarity: float) -> DataFrame:
 
     Similar lines share many shingles, so one of them is among the first ones of both in
     any common order; the smaller line needs fewer, since its partner is no smaller. What is not
-    in the line all were compared with comes first: copies that were changed in ways of
-    their own have nothing there in common, so they do not meet.
+    in the line all were compared with comes first, and of that what the fewest lines have:
+    copies that were changed in ways of their own, or with words that many others have too,
+    begin with what is theirs alone, so they do not meet.
     """
-    rows = members.select("first", "h", "part", "j", "size", "fresh", F.posexplode("lead").alias("at", "g"))
+    own = ["first", "h", "part", "j", "size", "fresh"]
+    rows = members.select(*own, F.posexplode("lead").alias("at", "g"))
+    new = rows.where("at < fresh")
+    held = new.groupBy("first", "g").agg(F.count("*").alias("n"), (F.min("part") < F.max("part")).alias("met"))
+    ranked = F.sort_array(F.collect_list(F.struct("n", "g", "met"))).alias("lead")
+    new = new.join(held, ["first", "g"]).groupBy(*own).agg(ranked)
+    new = new.select(*own, F.posexplode(F.expr(f"slice(lead, 1, {_lead('size', similarity)})")).alias("at", "lead"))
+    # What only lines of one component have keeps its place in the order, but joins nothing.
+    new = new.where("lead.met").select(*own, "at", "lead.g")
+    rows = materialize(new.union(rows.where("at >= fresh")), "line-leads")
     both = 2 * similarity / (1 + similarity)
     x, y = (rows.select("first", "g", *(F.col(c).alias(f"{c}_{n}") for c in rows.columns[1:7])) for n in "xy")
     x = x.where(F.expr(f"at_x < {_lead('size_x', both)}"))

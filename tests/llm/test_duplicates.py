@@ -204,3 +204,27 @@ def test_lines_changed_in_ways_of_their_own_do_not_meet(spark):
     similar = {(i + 1, j + 1) for i in n for j in n[i + 1 :] if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert similar <= got
     assert len(got) < len(copies) ** 2 / 6
+
+
+def test_lines_changed_with_common_words_do_not_all_meet(spark):
+    """Copies that are unlike each other are not compared because a word of many stands in them."""
+    pick = random.Random(4)
+    base = "".join(pick.choice("abcdehilopst ") for _ in range(400))
+
+    def changed():
+        own = base
+        for at in pick.sample(range(20, 360, 20), 8):
+            own = own[:at] + "".join(pick.choice("0123456789") for _ in range(6)) + own[at + 6 :]
+        # The same word at one of two places.
+        at = pick.choice([0, 380])
+        return own[:at] + "EVERYBODYHASTHIS" + own[at + 16 :]
+
+    copies = [changed() for _ in range(80)]
+    copies += [c[:5] + "#" + c[6:] for c in copies[:5]]
+    lines_of = spark.createDataFrame(list(enumerate([base, *copies])), "h long, line string")
+    stars = spark.createDataFrame([(0, i + 1) for i in range(len(copies))], "a long, b long")
+    known = lines._similarities(stars, lines_of, 10, 0.8)
+    members = known.selectExpr("a AS first", "b AS h", "b AS part", "j", "size", "fresh", "lead")
+    got = {tuple(r) for r in lines._candidates(members, 0.8).collect()}
+    assert {(i + 1, 81 + i) for i in range(5)} <= got
+    assert len(got) < 20
