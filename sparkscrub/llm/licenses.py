@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkscrub.functions.sqltext import literal, name
 from sparkscrub.llm.common import doc_rows, materialize, same
 from sparkscrub.plans.sizing import fits_broadcast
 
@@ -133,41 +134,81 @@ def notice_index(spark: SparkSession, notices=NOTICES, rare: float = 0.25) -> Da
     return found.join(total, "notice").drop("df")
 
 
+def _phrases(notices) -> list[str]:
+    return list(dict.fromkeys(phrase for _, _, phrases in notices for phrase in phrases))
+
+
+def _marked_sql(words: str, notices) -> str:
+    """SQL: the notices whose key phrases all stand in a text, with its words and the places of
+    these phrases as ``p, word``; null for a text without such a notice. A phrase is written with a
+    space before it, as no word is.
+    """
+    phrases = _phrases(notices)
+    w, s, h, c, x, i = (name(v) for v in "wshcxi")
+    holds = f"array({', '.join(f'contains({s}, {literal(f" {phrase} ")})' for phrase in phrases)})"
+    tests = (" AND ".join(f"{h}[{phrases.index(p)}]" for p in dict.fromkeys(own)) or "true" for _, _, own in notices)
+    chosen = f"array_compact(array({', '.join(f'IF({test}, {n}, NULL)' for n, test in enumerate(tests))}))"
+    entries = [f"transform({w}, ({x}, {i}) -> struct({i} AS p, {x} AS word))"]
+    for n, phrase in enumerate(phrases):
+        places = f"transform({phrase_places(w, phrase)}, {i} -> struct({i} AS p, {literal(f' {phrase}')} AS word))"
+        entries.append(f"IF({h}[{n}], {places}, cast(array() AS array<struct<p:int,word:string>>))")
+    found = f"IF(size({c}) = 0, NULL, struct({c} AS notices, concat({', '.join(entries)}) AS entries))"
+    found = f"transform(array({chosen}), {c} -> {found})[0]"
+    found = f"transform(array({holds}), {h} -> {found})[0]"
+    found = f"transform(array(concat(' ', array_join({w}, ' '), ' ')), {s} -> {found})[0]"
+    return f"transform(array({words}), {w} -> {found})[0]"
+
+
 def confirmed_notices(
     docs: DataFrame, notices=NOTICES, rare: float = 0.25, min_score: float = 0.5
 ) -> DataFrame:
-    """``doc_id, k, label, score`` of the notices that stand in ``docs`` (``doc_id, k, text``)."""
-    index = notice_index(docs.sparkSession, notices, rare)
+    """``doc_id, k, label, score`` of the notices that stand in ``docs`` (``doc_id, k, text``).
+
+    No text is moved: only notices whose key phrases stand somewhere in a text are looked
+    for, and what leaves the text are numbers, the places of rare words and of phrases.
+    """
+    spark = docs.sparkSession
+    index = notice_index(spark, notices, rare)
+    phrases = [(f" {p}", n, -1 - j, len(p.split(" "))) for n, (_, _, own) in enumerate(notices) for j, p in enumerate(dict.fromkeys(own))]
+    marks = spark.createDataFrame(phrases, "word string, notice int, q int, width int")
+    sizes = [(n, len(dict.fromkeys(own))) for n, (_, _, own) in enumerate(notices)]
+    about = index.select("notice", "label", "total", "length").distinct()
+    about = about.join(spark.createDataFrame(sizes, "notice int, n_phrases int"), "notice")
+    looked_up = index.select("word", "notice", "q").unionByName(marks.drop("width"))
+
     low = lowered("text")
     files = docs.where(may_hold(low)).select("doc_id", "k", words_of(low).alias("words"))
-    tokens = files.select("doc_id", "k", F.posexplode_outer("words").alias("p", "word"))
-    hits = tokens.join(F.broadcast(index), "word").withColumn("offset", F.col("p") - F.col("q"))
+    files = files.select("doc_id", "k", F.expr(_marked_sql("words", notices)).alias("_m"))
+    # An outer generator, so that the texts are searched once.
+    tokens = files.select("doc_id", "k", F.col("_m.notices").alias("notices"), F.expr("inline_outer(_m.entries)"))
+    tokens = tokens.where(F.col("word").isNotNull())
+    hits = tokens.join(F.broadcast(looked_up), "word").where("array_contains(notices, notice)")
+    # Places of phrases as they are, of words by where the notice would begin.
+    place = F.when(F.col("q") < 0, F.col("p")).otherwise(F.col("p") - F.col("q")).alias("place")
+    hits = materialize(hits.select("doc_id", "k", "notice", "q", place), "notice-hits")
+
     # Two grids, so that hits with little drift share a cell of one of them.
-    cells = F.array(F.floor(F.col("offset") / DRIFT), F.floor((F.col("offset") + DRIFT / 2) / DRIFT) + F.lit(1 << 40))
-    hits = hits.withColumn("cell", F.explode(cells)).groupBy("doc_id", "k", "notice", "label", "cell", "q")
-    once = hits.agg(
-        F.min("offset").alias("offset"),
-        F.first("idf").alias("idf"),
-        F.first("total").alias("total"),
-        F.first("length").alias("length"),
-        F.first("phrases").alias("phrases"),
-    )
-    found = once.groupBy("doc_id", "k", "notice", "label", "cell").agg(
-        (F.sum("idf") / F.first("total")).alias("score"),
-        F.min("offset").alias("start"),
-        F.first("length").alias("length"),
-        F.first("phrases").alias("phrases"),
-    )
-    found = materialize(found.where(F.col("score") >= min_score), "notice-places")
-    places = F.broadcast(found) if fits_broadcast(found) else found
-    places = places.withColumnsRenamed({"doc_id": "_id", "k": "_k"})
-    own = files.join(places, (F.col("k") == F.col("_k")) & same(F.col("doc_id"), F.col("_id")))
-    begin = F.greatest(F.lit(1), F.col("start") + 1 - DRIFT)
-    around = F.concat(
-        F.lit(" "), F.array_join(F.slice("words", begin, F.col("length") + 2 * DRIFT), " "), F.lit(" ")
-    )
-    own = own.withColumn("around", around)
-    confirmed = own.where(F.expr("forall(phrases, x -> contains(around, concat(' ', x, ' ')))"))
+    cells = F.array(F.floor(F.col("place") / DRIFT), F.floor((F.col("place") + DRIFT / 2) / DRIFT) + F.lit(1 << 40))
+    cell = ("doc_id", "k", "notice", "cell")
+    once = hits.where("q >= 0").withColumn("cell", F.explode(cells)).groupBy(*cell, "q").agg(F.min("place").alias("place"))
+    once = once.join(F.broadcast(index.select("notice", "q", "idf")), ["notice", "q"])
+    found = once.groupBy(*cell).agg(F.sum("idf").alias("weight"), F.min("place").alias("start"))
+    found = found.join(F.broadcast(about), "notice").withColumn("score", F.col("weight") / F.col("total"))
+    found = found.where(F.col("score") >= min_score).select(*cell, "start", "label", "length", "n_phrases", "score")
+
+    # Phrases count from a little before the notice to a little behind it. Both sides meet by
+    # blocks of words, so a notice that a text repeats does not meet all of its phrases.
+    block = max(len(text.split(" ")) for _, text, _ in notices) + 2 * DRIFT
+    spots = hits.where("q < 0").join(F.broadcast(marks.drop("word")), ["notice", "q"]).withColumn("block", F.floor(F.col("place") / block))
+    spots = spots.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", "k", "notice", "block")}).distinct()
+    begin = F.greatest(F.lit(0), F.col("start") - DRIFT)
+    end = begin + F.col("length") + 2 * DRIFT
+    found = found.withColumn("block", F.explode(F.sequence(F.floor(begin / block), F.floor((end - 1) / block))))
+    own = (F.col("k") == F.col("_k")) & same(F.col("doc_id"), F.col("_doc_id"))
+    own = own & (F.col("notice") == F.col("_notice")) & (F.col("block") == F.col("_block"))
+    near = found.join(spots, own & (F.col("place") >= begin) & (F.col("place") + F.col("width") <= end), "left")
+    confirmed = near.groupBy(*cell, "label", "n_phrases", "score").agg(F.count_distinct("q").alias("n"))
+    confirmed = confirmed.where(F.col("n") == F.col("n_phrases"))
     return confirmed.groupBy("doc_id", "k", "label").agg(F.least(F.lit(1.0), F.max("score")).alias("score"))
 
 

@@ -1,8 +1,10 @@
 import random
+import re
 import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkscrub.llm import article, licenses, pii, quality
 from sparkscrub.llm.article import article_text, extract_articles
@@ -155,6 +157,35 @@ def test_license_rows(spark):
     assert licenses.scan_licenses(frame(spark, [])).collect() == []
 
 
+def test_license_phrases_near_their_notice(spark):
+    filler = " word" * 60
+    texts = {
+        "mit": "Released under the MIT license." + filler,
+        "": "Released under the license." + filler + " An MIT license elsewhere: MIT, license.",
+        # Every place counts by itself, also where a text has very many of them.
+        "bsd": ("Released under the BSD license." + filler) * 40,
+    }
+    notices = [("mit", "released under the mit license", ("mit license", "released under")), *licenses.NOTICES[4:5]]
+    rows = [(n, text) for n, text in enumerate(texts.values())]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(frame(spark, rows), notices=notices).collect()}
+    assert [got[n] for n in range(3)] == list(texts)
+
+
+def test_licenses_move_no_text(spark, tight):
+    rows = [(n, f"Some code. {text}, and more.") for n, (_, text, _) in enumerate(licenses.NOTICES)]
+    docs = frame(spark, rows).withColumn("k", F.xxhash64("text"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = licenses.confirmed_notices(docs)
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+        moved = [node for node in plan.split("\n\n") if re.search(r"\) Exchange\n", node)]
+        assert moved and not any(re.search(r"words|text|around", node) for node in moved)
+        assert found.count() >= len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 # --- quality -----------------------------------------------------------------------
 
 
