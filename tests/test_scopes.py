@@ -177,3 +177,33 @@ def test_values_that_differ_in_few_places(spark, tight, monkeypatch):
     got = find_values(texts, values, [], ["id"]).collect()
     assert sorted((r["id"], r["value"]) for r in got) == list(enumerate(numbers))
     assert stored["found-pieces"] < 2 * len(numbers)
+
+
+def test_texts_stay_where_they_are(spark, tight):
+    """Values are compared with what stands around their pieces: texts do not follow, passing tables go."""
+    rnd = random.Random(8)
+    values = [f"number-{i:05}" for i in range(60)]
+    texts = [(i, f"{rnd.choice(values)}x, {rnd.choice(values)}{rnd.choice(values)}{' or so' * 30}") for i in range(40)]
+    df = spark.createDataFrame(texts, "id int, text string")
+    known = spark.createDataFrame([(v, f"<{i}>") for i, v in enumerate(values)], "value string, placeholder string")
+    before = len(sizing._stored)
+    found = find_values(df, known, [], ["id"], keep=["placeholder"])
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "Exchange" not in plan and "MapInArrow" not in plan
+    labels = [path.rpartition("/")[2].rpartition("-")[0] for _, path in sizing._stored[before:]]
+    assert labels == ["anchors", "found-pieces"]
+    got = sorted((r["id"], r["value"], r["placeholder"]) for r in found.collect())
+    assert got == sorted((i, v, f"<{n}>") for i, t in texts for n, v in enumerate(values) if v in t)
+
+
+def test_values_of_all_lengths_together(spark, tight, monkeypatch):
+    """Short and long values are looked up beside those that stand in a stretch; pieces may all be shared."""
+    monkeypatch.setattr(matching, "WEIGHED", 4)
+    rnd = random.Random(9)
+    base = "".join(rnd.choices("ab😀", k=300))
+    cuts = {base[i : i + n] for n in (1, 3, 7, 8, 9, 16, 17, 40, 64, 65, 90) for i in rnd.sample(range(200), 8)}
+    texts = [(i, base[rnd.randrange(150) :][: rnd.randrange(140)] + rnd.choice(["", "a" * 70, base])) for i in range(30)]
+    df = spark.createDataFrame([*texts, (98, None), (99, "")], "id int, text string")
+    known = spark.createDataFrame([(v,) for v in sorted(cuts)], "value string")
+    got = sorted((r["id"], r["value"]) for r in find_values(df, known, [], ["id"]).collect())
+    assert got == sorted((i, v) for i, t in texts for v in cuts if v in t)
