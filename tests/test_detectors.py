@@ -1,9 +1,11 @@
+import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkscrub.catalog import DEFAULT_TYPES, ENTITIES, RANK, select_entities
-from sparkscrub.functions import spans
+from sparkscrub.functions import detectors, spans
 from sparkscrub.functions.detectors import FAMILIES, family_spans, term_families
 from sparkscrub.functions.wallets import base58check_sql
 from sparkscrub.operators.detect import detect, explode_spans
@@ -194,3 +196,16 @@ def test_positions_scan_each_text_once():
 def test_long_wallets_take_few_steps():
     """Five digits a step: 7 steps over 7 limbs, not one for each of up to 35 digits over 9."""
     assert "split(" not in base58check_sql("v") and f"{58**5}L" in base58check_sql("v")
+
+
+def test_phone_digits_are_counted_without_a_pattern(spark):
+    """Patterns that replace cost more than the scan; a candidate holds nothing but digits and six signs."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choices("0123456789" * 3 + "+-. ()x\u0661", k=40)) for _ in range(400)]
+    texts += ["+1 (345) 555-0001", "(345) 555-0001", "345 555 0001", "+12 3456", "+1 " + "234 " * 9]
+    found = f"regexp_extract_all(t, {detectors.raw(detectors.PHONE)}, 0)"
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.explode(F.expr(found)).alias("v"))
+    own = detectors._phone_digits("v")
+    assert "regexp" not in own and "regexp" not in detectors._luhn("v").lower()
+    rows = rows.selectExpr("v", f"{own} AS got", "length(regexp_replace(v, '[^0-9]', '')) BETWEEN 7 AND 15 AS expected").collect()
+    assert {r["expected"] for r in rows} == {True, False} and all(r["got"] == r["expected"] for r in rows)
